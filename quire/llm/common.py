@@ -5,11 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -45,19 +43,36 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have yet (compared without case)."""
     have, name = {c.lower() for c in df.columns}, stem
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+#: Bits of the membership sketch below: 2^16 words of 64 bits, so its broadcast never exceeds 65,536 rows.
+_SKETCH = 1 << 22
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be among `ids` (one column, id), rows whose id is not), without shuffling df.
+
+    A one-hash Bloom filter of fixed size is built by a pre-aggregated bit_or and broadcast. Where `ids` is large the
+    first part simply grows; its caller joins it with the ids themselves.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(_SKETCH))
+    one = lambda c: F.expr("shiftleft(1L, cast(b % 64 as int))").alias(c)
+    words = ids.select(bit(F.col("id")).alias("b")).select(F.shiftright("b", 6).alias("w"), one("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    words = written(words)
+    b, w, m = (fresh_name(df, x) for x in ("b", "w", "m"))
+    hashed = df.withColumn(b, bit(F.col(id_col)))
+    filt = F.broadcast(words.select(F.col("w").alias(w), F.col("m").alias(m)))
+    out = hashed.join(filt, F.shiftright(b, 6) == F.col(w), "left").withColumn(b, F.coalesce(F.getbit(F.col(m), (F.col(b) % 64).cast("int")) == 1, F.lit(False)))
+    return out.where(F.col(b)).select(*df.columns), out.where(~F.col(b)).select(*df.columns)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """df without the rows whose id is among `ids` (one column, id); only rows that may be are shuffled."""
+    maybe, no = split_by_ids(df, ids, id_col)
+    return no.unionAll(maybe.join(ids.select(F.col("id").alias(id_col)).distinct().hint("shuffle_hash"), id_col, "left_anti").select(*df.columns))

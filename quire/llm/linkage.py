@@ -6,8 +6,9 @@ the connected components. ``resolve`` gets that in three steps:
 1. stars: within each key every item is paired with the group's smallest and largest id only, pairs are made distinct,
    pruned on fixed-size sketches and verified;
 2. components of the verified links are contracted (``components``);
-3. what is left: in keys whose members still lie in different components, every pair across components is compared on
-   sketches, in blocks of bounded size, and the survivors are verified. Pairs inside one component cannot change it.
+3. what is left: in keys of more than three members that still lie in different components, every pair across components
+   is compared on short sketches, in blocks of bounded size, and the survivors are verified. Pairs inside one component
+   cannot change it.
 
 No pair of items that share a key and link is lost; large groups of copies cost one verification per member.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,30 +59,59 @@ def components(links: DataFrame) -> DataFrame:
     return assign.join(low, "root").select("id", "component")
 
 
+def _merged(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after more links: only the components that these links touch are looked at again."""
+    of = comp.select(F.col("id").alias("v"), F.col("component").alias("r"))
+    ends = lambda c, x: more_[c] == x["v"]
+    more_, left, right = more.select("a", "b"), of.select("v", F.col("r").alias("ra")), of.select("v", F.col("r").alias("rb"))
+    roots = written(more_.join(left, ends("a", left), "left").drop("v").join(right, F.col("b") == right["v"], "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), F.col("a").alias("v"), F.col("b").alias("w")))
+    top = written(components(roots.select("a", "b"))).select(F.col("id").alias("r"), F.col("component").alias("top"))
+    known = of.unionByName(roots.select("v", F.col("a").alias("r"))).unionByName(roots.select(F.col("w").alias("v"), F.col("b").alias("r"))).distinct()
+    return written(known.join(top, "r", "left").select(F.col("v").alias("id"), F.coalesce("top", "r").alias("component")))
+
+
+def hamming(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Hamming distances of sketches pairwise; lengths are powers of two times 8 bytes, the longer one is folded."""
+    la, lb = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b))
+    out = np.zeros(len(a), dtype=np.int64)
+    for k in np.unique(la * (1 << 32) + lb).tolist():
+        at = np.flatnonzero((la == k >> 32) & (lb == k & 0xFFFFFFFF))
+        x, y = (np.frombuffer(b"".join([s[i] for i in at]), dtype=np.uint64).reshape(len(at), -1) for s in (a, b))
+        out[at] = np.bitwise_count(fold_to(x, y.shape[1]) ^ fold_to(y, x.shape[1])).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def fold_to(x: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketches (a row each) folded to at most so many 64-bit words."""
+    while x.shape[1] > words:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
 def _across(prune: Prune):
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one block whose components differ and whose sketches allow a link."""
-        pdf = pdf.sort_values("id")
-        ids, comp, side, n = (pdf[c].to_numpy() for c in ("id", "comp", "side", "n"))
-        sk = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), -1)
-        out = []
-        same = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
-        left, right = (np.arange(len(ids)), np.arange(len(ids))) if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        for at in range(0, len(left), 128):
-            rows = left[at : at + 128]
-            ok = comp[rows][:, None] != comp[right][None, :]
-            if same:
-                ok &= rows[:, None] < right[None, :]
-            i, j = np.nonzero(ok)
-            if len(i):
-                i, j = rows[i], right[j]
-                dist = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1, dtype=np.int64)
-                keep = prune(n[i], n[j], dist)
-                out.append(np.stack([ids[i[keep]], ids[j[keep]]]))
-        found = np.concatenate(out, axis=1) if out else np.empty((2, 0), dtype=np.int64)
-        return pd.DataFrame({"a": np.minimum(found[0], found[1]), "b": np.maximum(found[0], found[1])})
-
-    return pairs
+    def run(batches):
+        """Groups (one a row) -> pairs across components that sizes and short sketches allow."""
+        for batch in batches:
+            found = []
+            for same, group in zip(batch.column("same").to_pylist(), batch.column("members"), strict=True):
+                m = group.values
+                ids, comp, n, side = (m.field(c).to_numpy() for c in ("id", "comp", "n", "side"))
+                sk = np.frombuffer(b"".join(m.field("short").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+                left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+                for at in range(0, len(left), 128):
+                    rows = left[at : at + 128]
+                    ok = comp[rows][:, None] != comp[right][None, :]
+                    if same:
+                        ok &= rows[:, None] < right[None, :]
+                    i, j = np.nonzero(ok)
+                    i, j = rows[i], right[j]
+                    keep = prune(n[i], n[j], np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1, dtype=np.int64))
+                    found.append(np.sort(np.stack([ids[i[keep]], ids[j[keep]]], axis=1), axis=1))
+            if found:
+                p = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _near_enough(pairs: DataFrame, meta: DataFrame, prune: Prune) -> DataFrame:
@@ -90,41 +120,45 @@ def _near_enough(pairs: DataFrame, meta: DataFrame, prune: Prune) -> DataFrame:
     right = meta.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def test(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = np.frombuffer(b"".join(pdf["sa"]), dtype=np.uint64) ^ np.frombuffer(b"".join(pdf["sb"]), dtype=np.uint64)
-                dist = np.bitwise_count(x).reshape(len(pdf), -1).sum(axis=1, dtype=np.int64)
-                yield pdf.loc[prune(pdf["na"].to_numpy(), pdf["nb"].to_numpy(), dist), ["a", "b"]]
+        for x in batches:
+            if x.num_rows:
+                ok = prune(x.column("na").to_numpy(), x.column("nb").to_numpy(), hamming(x.column("sa").to_pylist(), x.column("sb").to_pylist()))
+                yield x.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(left, "a").join(right, "b").mapInPandas(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
 
 
 def resolve(keys: DataFrame, meta: DataFrame, prune: Prune, verify: Verify) -> DataFrame:
     """Components of the links among items that share a key.
 
-    keys: (key long, id long), any number of rows per id. meta: (id long, n long, sketch binary of a fixed multiple of 8
-    bytes), one row per id. prune(n_a, n_b, hamming) -> bool array, true where a link is possible. verify(pairs (a, b))
-    -> the pairs that link. Returns (id, component, n_links): ids in a link, the smallest id of the component, and the
-    verified links that the id takes part in (a lower bound on its links).
+    keys: (key long, id long), any number of rows per id, repeats allowed. meta: (id long, n long, sketch binary of 8
+    bytes times a power of two, short binary, of one length for all), one row per id. prune(n_a, n_b, hamming) -> bool array,
+    true where a link is possible. verify(pairs (a, b)) -> the pairs that link. Returns (id, component, n_links): ids in a
+    link, the smallest id of the component, and the verified links that the id takes part in (a lower bound).
     """
     w = Window.partitionBy("key")
     shared = keys.select("key", "id", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi")).where("lo < hi")
     shared = written(shared)
     stars = shared.select(F.explode(F.array("lo", "hi")).alias("hub"), "id").where("hub <> id")
-    stars = stars.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    stars = written(stars.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
     links = written(verify(written(_near_enough(stars, meta, prune))).select("a", "b").distinct())
     comp = written(components(links))
 
-    held = shared.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = held.select("key", "id", "comp", F.min("comp").over(w).alias("c0"), F.max("comp").over(w).alias("c1"), F.count(F.lit(1)).over(w).alias("size")).where("c0 < c1")
-    mixed = mixed.join(meta, "id").select("key", "id", "comp", "n", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    # Groups of up to three members are done: each pair of them has met in a star.
+    large = shared.withColumn("size", F.count(F.lit(1)).over(w)).where(F.col("size") > 3).select("key", "id", "size").distinct()
+    held = large.join(comp, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
+    mixed = held.select("*", F.min("comp").over(w).alias("c0"), F.max("comp").over(w).alias("c1")).where("c0 < c1")
+    mixed = mixed.join(meta, "id").select("key", "id", "comp", "n", "short", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
     mixed = mixed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", "id", "comp", "n", "sketch", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    rest = dealt.groupBy("key", "bi", "bj").applyInPandas(_across(prune), "a long, b long").distinct()
-    more = written(verify(written(rest.join(links, ["a", "b"], "left_anti"))).select("a", "b").distinct())
-    if not more.isEmpty():
-        links = links.union(more)
-        comp = written(components(links))
+    member = F.struct("id", "comp", "n", "short", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    blocks = dealt.groupBy("key", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj")).agg(F.collect_list(member).alias("members"))
+    rest = blocks.select((F.col("bi") == F.col("bj")).alias("same"), "members").mapInArrow(_across(prune), "a long, b long").distinct()
+    rest = written(_near_enough(rest.join(stars, ["a", "b"], "left_anti"), meta, prune))
+    if not rest.isEmpty():
+        more = written(verify(rest).select("a", "b").distinct())
+        if not more.isEmpty():
+            links = links.union(more)
+            comp = _merged(comp, more)
     count = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     return comp.join(count, "id").select("id", "component", "n_links")
