@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, written
+from .common import fresh_name, without_ids, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -140,5 +140,5 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_good(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents that quality_report keeps, columns unchanged. Rows that repeat an id stay only if all of them are kept."""
     report = quality_report(docs, id_col=id_col, **how)
-    drop = report.where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(drop.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+    drop = written(report.where(~F.col("kept")).select(F.col(id_col).cast("long").alias("id")).distinct())
+    return without_ids(docs, drop, id_col)
