@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = {
     "symbol_share": ("high", 6.0, 0.03),
     "dup_line_share": ("high", 6.0, 0.10),
-    "repeat_share": ("high", 6.0, 0.03),
+    "repeat_share": ("high", 6.0, 0.04),
     "mean_word": ("both", 6.0, 0.60),
 }
 #: A group needs so many documents to have cutoffs of its own.
