@@ -362,3 +362,12 @@ def test_near_lines_against_brute_force(spark):
 def test_registered():
     q = queries.queries()
     assert len(q) == 10 and {int(re.match(r"op(\d+)_", k)[1]) for k in q} == set(range(1, 11))
+
+
+def test_simhash_counts_a_word_once():
+    """Lines that share only a separator, however often it comes, are far apart; repeated words change nothing."""
+    lines = [" | ".join(f"{c}{k}" for k in range(20)).split() for c in "abcd"]
+    x = linededup.simhashes([*lines, lines[0] + lines[0]]).view(np.uint64)
+    apart = [int(np.bitwise_count(x[i] ^ x[j]).sum()) for i in range(4) for j in range(i)]
+    assert min(apart) > 24
+    assert (x[0] == x[4]).all()
