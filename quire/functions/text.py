@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +61,78 @@ def markdown_line(category: Column, text: Column) -> Column:
     for c, (a, b) in MARKDOWN.items():
         out = out.when(category == c, F.concat(F.lit(a), text, F.lit(b)))
     return out.otherwise(text)
+
+
+def _latin() -> tuple[str, str]:
+    """Small Latin letters with marks, and what is left of them without (by Unicode's compatibility decomposition)."""
+    src, dst = [], []
+    for cp in range(0xAA, 0x1F00):
+        c = chr(cp)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c == c.casefold() and bare != c and len(bare) == 1 and bare.isascii() and bare.isalpha():
+            src.append(c)
+            dst.append(bare.lower())
+    return "".join(src), "".join(dst)
+
+
+def fold(t: Column) -> Column:
+    """Lower case without combining marks; precomposed letters fold over the Latin alphabets."""
+    src, dst = _latin()
+    low = F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(F.translate(low, src, dst), "\\p{Mn}", "")
+
+
+def squash(t: Column) -> Column:
+    return F.regexp_replace(fold(t), "[^a-z0-9]", "")
+
+
+def words(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(f"({WORD})"), 1)
+
+
+def title_key(t: Column) -> Column:
+    return F.array_join(words(F.lower(t)), " ")
+
+
+def is_running_header(t: Column, most: int = 8) -> Column:
+    return F.size(words(t)).between(1, most)
+
+
+def clean_header(t: Column) -> Column:
+    """Tokens in capitals only; where there are none, the trimmed text."""
+    caps = F.array_join(F.filter(F.split(t, "[ \\t]+"), lambda w: w.rlike("\\p{Lu}") & ~w.rlike("\\p{Ll}")), " ")
+    return F.when(caps != "", caps).otherwise(F.trim(t))
+
+
+def titles_a_piece(t: Column) -> Column:
+    """A heading that names a piece: not blank, no trailing colon, not enumerated."""
+    return (F.trim(t) != "") & ~t.rlike(":[ \\t]*$") & ~t.rlike("^[ \\t]*\\(?[0-9]{1,2}[ \\t]*[.)]")
+
+
+def piece_title(t: Column) -> Column:
+    return F.when(titles_a_piece(t), F.trim(F.regexp_replace(t, "[ \\t]+", " ")))
+
+
+#: Inflection endings, longest first; what is left keeps at least five letters.
+ENDINGS = ("jema", "jevi", "jeva", "jevo", "jem", "jev", "jih", "jem", "oma", "ama", "ega", "emu", "ovi", "ova", "ovo", "ov", "om", "em", "ju", "ja", "je", "mi", "ih", "ah", "am", "u", "a", "e", "i", "o")
+STEM = f"^(.{{5,}}?)(?:{'|'.join(dict.fromkeys(ENDINGS))})$"
+
+
+def entity_key(t: Column) -> Column:
+    """Folded words, each without its ending; empty where nothing is left."""
+    parts = F.filter(F.split(F.regexp_replace(fold(t), "[^\\p{L}\\p{N}_]+", " "), " "), lambda w: w != "")
+    return F.array_join(F.transform(parts, lambda w: F.regexp_replace(w, STEM, "$1")), " ")
+
+
+def entity_keys(t: Column, label: Column) -> Column:
+    """The key and, for persons (or without a label) of several words, the last word alone."""
+    key = entity_key(t)
+    last = F.element_at(F.split(key, " "), -1)
+    alone = F.when(key.contains(" ") & F.upper(F.coalesce(label, F.lit(""))).isin("", "PER"), last)
+    return F.array_distinct(F.array_compact(F.array(F.when(key != "", key), alone)))
+
+
+def natural_key(t: Column) -> Column:
+    """Sorts runs of digits by value: they are padded, the rest is in lower case."""
+    runs = F.regexp_extract_all(t, F.lit("([0-9]+|[^0-9]+)"), 1)
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, 20, "0")).otherwise(F.lower(r))), "")

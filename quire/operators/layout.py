@@ -150,3 +150,42 @@ def merge_paragraphs(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     para = F.sum((~joins).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     g = lines.withColumn("joins", joins).withColumn("para", para - 1).groupBy(doc, "para")
     return g.agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def best_by_iou(pred: DataFrame, gold: DataFrame, threshold: float = 0.9, page: Keys = ("page_id",)) -> DataFrame:
+    """The gold box of greatest IoU of each predicted one (ties: smaller j), not one to one: (page, i, j, s)."""
+    pairs = iou_pairs(pred, gold, threshold, page)
+    return pairs.groupBy(*page, "i").agg(F.max_by("j", F.struct(F.col("s"), -F.col("j"))).alias("j"), F.max("s").alias("s"))
+
+
+def unmatched(boxes: DataFrame, matches: DataFrame, side: str, page: Keys = ("page_id",)) -> DataFrame:
+    """Boxes that take part in no match."""
+    return boxes.join(matches.select(*page, F.col(side).alias("idx")), [*page, "idx"], "left_anti")
+
+
+def followed_figures(boxes: DataFrame, furniture: Sequence[str] = ("Header",), page: Keys = ("page_id",)) -> DataFrame:
+    """Each caption with the figure before it, unless a body block stands between: (page, idx, figure)."""
+    w = Window.partitionBy(*page).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.last(F.when(c, F.col("idx")), ignorenulls=True).over(w)
+    visual = F.col("label").isin("Figure", "Caption")
+    seen = boxes.select("*", last(F.col("label") == "Figure").alias("f"), last(~visual & ~F.col("label").isin(*furniture)).alias("b"))
+    return seen.where(F.col("label") == "Caption").select(*page, "idx", F.when(F.col("f") > F.coalesce("b", F.lit(-1)), F.col("f")).alias("figure"))
+
+
+def adjacent_articles(items: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Neighbouring articles in document order: (doc, article, first_pos, following)."""
+    a = sessionise(items, doc).where("article is not null").groupBy(doc, "article").agg(F.min("pos").alias("first_pos"))
+    nxt = F.lead("article").over(Window.partitionBy(doc).orderBy("first_pos"))
+    return a.withColumn("following", nxt).where("following is not null")
+
+
+def foreign_blocks(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """How many non-visual blocks of a page stand under another headline than each visual one: (page, idx, foreign).
+
+    Counted as all of the page's less those of the own run, so that no pairs are made.
+    """
+    body = F.col("label").isin("Figure", "Caption") == F.lit(False)
+    p = Window.partitionBy(*page)
+    run = boxes.withColumn("run", F.count_if(F.col("label") == "Headline").over(p.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    n = run.select(*page, "idx", body.alias("body"), (F.count_if(body).over(p) - F.count_if(body).over(Window.partitionBy(*page, "run"))).alias("foreign"))
+    return n.where(~F.col("body")).drop("body")

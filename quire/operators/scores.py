@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -66,3 +66,37 @@ def tallies(rows: DataFrame, dims: Sequence[str], hit: Column) -> DataFrame:
         bit = full & ~(1 << (len(dims) - 1 - k))
         name, value = name.when(F.col("g") == bit, d), value.when(F.col("g") == bit, F.col(d).cast("string"))
     return g.select(name.alias("dimension"), value.alias("value"), "n", "hits", (F.col("hits") / F.col("n")).alias("rate"))
+
+
+def rates(tallied: DataFrame) -> DataFrame:
+    """Adds accuracy, recall, separation_rate and their score (harmonic mean of accuracy and separation) to sums of
+    correct, scored, visuals, anchor_missing, separation_pairs and separation_failures; 0 where a denominator is 0."""
+    ratio = lambda a, b: F.when(b != 0, a / b).otherwise(0.0)
+    c = F.col
+    t = tallied.withColumns({"accuracy": ratio(c("correct"), c("scored")), "recall": ratio(c("correct"), c("visuals") - c("anchor_missing")), "separation_rate": ratio(c("separation_pairs") - c("separation_failures"), c("separation_pairs"))})
+    return t.withColumn("score", ratio(2 * c("accuracy") * c("separation_rate"), c("accuracy") + c("separation_rate")))
+
+
+def rarest_keys(weighted: DataFrame, by: Sequence[str], k: int = 10) -> DataFrame:
+    """The k keys of greatest weight of each group (ties: by key), with their rank from 1."""
+    w = Window.partitionBy(*by).orderBy(F.col("weight").desc(), "key")
+    return weighted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def weighted_similarity(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b) of ids over weighted sets (id, key, weight): shared weight by the root of the
+    product of both weights, 1 at most, 0 where nothing is shared."""
+    total = weighted.groupBy("id").agg(F.sum("weight").alias("total"))
+    left = weighted.select(F.col("id").alias("a"), "key", "weight")
+    right = weighted.select(F.col("id").alias("b"), "key")
+    shared = pairs.join(left, "a").join(right, ["b", "key"]).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
+    out = pairs.join(shared, ["a", "b"], "left").join(total.select(F.col("id").alias("a"), F.col("total").alias("ta")), "a", "left").join(total.select(F.col("id").alias("b"), F.col("total").alias("tb")), "b", "left")
+    product = F.sqrt(F.col("ta") * F.col("tb"))
+    return out.select("a", "b", F.when((product > 0) & F.col("shared").isNotNull(), F.least(F.lit(1.0), F.col("shared") / product)).otherwise(0.0).alias("similarity"))
+
+
+def most_common_articles(items: DataFrame, page: str) -> DataFrame:
+    """Items per (page, article), most common first, ties by first position: (page, article, n, rank from 1)."""
+    g = items.groupBy(page, "article").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+    rank = F.row_number().over(Window.partitionBy(page).orderBy(F.col("n").desc(), "first_pos"))
+    return g.select(page, "article", "n", rank.alias("rank"))

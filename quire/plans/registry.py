@@ -261,3 +261,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import linking  # noqa: E402,F401 - registers its queries here
