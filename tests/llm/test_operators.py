@@ -371,3 +371,34 @@ def test_simhash_counts_a_word_once():
     apart = [int(np.bitwise_count(x[i] ^ x[j]).sum()) for i in range(4) for j in range(i)]
     assert min(apart) > 24
     assert (x[0] == x[4]).all()
+
+
+@pytest.mark.parametrize(("edit", "least"), [("letter", 0.99), ("word", 0.99), ("tenth", 0.9)])
+def test_near_lines_by_edit_similarity(spark, edit, least):
+    """Lines of 4 to 60 words with one letter or word changed, or letters changed up to the bound, meet their originals."""
+    rnd = random.Random(3)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(2000)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    lines = []
+    for k in range(360):
+        w = [rnd.choice(vocab) for _ in range((4, 5, 6, 10, 20, 60)[k % 6])]
+        v, t = list(w), list(" ".join(w))
+        if edit == "word":
+            v[rnd.randrange(len(v))] = rnd.choice(vocab)
+            t = list(" ".join(v))
+        else:
+            for at in rnd.sample(range(len(t)), 1 if edit == "letter" else len(t) // 10):
+                t[at] = "z"
+        lines.append((" ".join(w), "".join(t)))
+    lines = [(a, b) for a, b in lines if len(a) >= 20 and a != b and distance(a, b) <= 0.1 * max(len(a), len(b))]
+    assert len(lines) > 100
+    out = {r.doc_id for r in linededup.line_groups(frame(spark, [x for pair in lines for x in pair])).collect()}
+    assert all(i % 2 for i in out) and len(out) >= least * len(lines)
