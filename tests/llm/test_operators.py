@@ -315,6 +315,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, texts).where("false")).collect() == []
 
 
+def test_wrapped_and_embedded_licenses(spark):
+    """Every template is found wrapped over lines of five words, and inside a line of other words."""
+    rnd = random.Random(4)
+    other = lambda n: " ".join("".join(rnd.choice("bcdfgh") for _ in range(6)) for _ in range(n))
+    texts, want = [], []
+    for name, t in licenses.TEMPLATES:
+        w = t.split()
+        wrapped = "\n".join(" ".join(w[i : i + 5]) for i in range(0, len(w), 5))
+        texts += [f"{other(30)}\n\n{wrapped}\n{other(9)}", f"{other(40)} {t} {other(300)}", f"{other(3)}\n{other(7)} {wrapped} {other(20)}"]
+        want += [name] * 3
+    gap = licenses.TEMPLATES[9][1].split()
+    texts += ["\n".join([" ".join(gap[:9]), " ".join(gap[10:])]), f"{other(5)}\n{other(4)} {licenses.TEMPLATES[4][1]} {other(4)} {licenses.TEMPLATES[9][1]}", other(400)]
+    out = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert {i: r.licenses for i, r in out.items()} == {i: [n] for i, n in enumerate(want)} | {len(want): ["BSD-3-Clause"], len(want) + 1: ["BSD-3-Clause", "MIT"]}
+    assert all(out[i].best_dice == 1.0 for i in range(1, len(want), 3)) and out[len(want) + 1].n_lines == 1
+
+
 # --- op8
 def test_line_groups(spark):
     rnd = random.Random(9)
