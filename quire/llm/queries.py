@@ -24,7 +24,8 @@ def op2_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_wfst.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    """Ids with the digest of each text; the round trip is told by a flag, decode_documents gives the texts back."""
+    return sp_wfst.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,6 +206,14 @@ def test_sp_documents(spark, sp):
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_registered_query_returns_ids(spark):
+    """The query's ids decode to the documents of the table."""
+    sf = "/root/testdata/sf0.001"
+    out = queries.op3_sentencepiece_wfst(spark, sf)
+    back = {r.doc_id: r.text for r in sp_wfst.decode_documents(out, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert back == {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
 def test_unigram_shortest_path():
     def message(*fields):
         return b"".join(bytes([k << 3 | 2, len(v)]) + v if isinstance(v, bytes) else bytes([k << 3 | 5]) + v.tobytes() if isinstance(v, np.float32) else bytes([k << 3, v]) for k, v in fields)
