@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,23 +30,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster shares in spark.checkpoint.dir (a temporary one only where it is unset)."""
+    """A fresh folder below the one the cluster shares in spark.checkpoint.dir.
+
+    Where that is unset, a machine-local folder would lose rows on a cluster: only a session inside one process gets one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
+def written(df: DataFrame, into: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it again. `into` gets the table's path."""
     spark = df.sparkSession
     path = scratch(spark)
-    w = df.write
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    df.write.parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more (all that was made of them has been written)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while paths:
+        at = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
+def slices(batch: pa.RecordBatch, chars: int = 1_500_000):
+    """(rows, their texts) of a batch whose column 1 is text, a bounded amount of text at a time (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + chars, side="right")))
+        part = batch.slice(at, stop - at)
+        yield part, part.column(1).to_pylist()
+        at = stop
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have yet (compared without case)."""
     have, name = {c.lower() for c in df.columns}, stem
@@ -61,7 +91,7 @@ def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame,
     A one-hash Bloom filter of fixed size is built by a pre-aggregated bit_or and broadcast. Where `ids` is large the
     first part simply grows; its caller joins it with the ids themselves.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(_SKETCH))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(_SKETCH))
     one = lambda c: F.expr("shiftleft(1L, cast(b % 64 as int))").alias(c)
     words = ids.select(bit(F.col("id")).alias("b")).select(F.shiftright("b", 6).alias("w"), one("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
     words = written(words)
