@@ -1,17 +1,17 @@
 """Complete linking of items that share a blocking key, without ever emitting all pairs of a group.
 
 A similarity join needs, for every pair of items that share a key, the answer "do they link?" only as far as it changes
-the connected components. ``resolve`` gets that in three rounds, each of which looks only across the components so far:
-
-1. within each key every item meets the group's smallest id;
-2. likewise the largest one;
-3. in keys of more than three members that still lie in different components, every pair across components is compared
-   on short sketches, in blocks of bounded size, and the survivors are verified.
-
-Pairs are made distinct, pruned on sizes and sketches, then verified. Items may say how many of their most frequent keys
-round 3 can do without (``spare``): of two items that agree on s+1 keys, the rarest of these is among both's keys even
-if each leaves out its s most frequent ones, frequency being the one order (size of the group, then key). So hot keys,
-which would grow with the square of the table, fall out without the loss of a link.
+the connected components. ``resolve`` gets that in three steps:
+
+1. Items say how many of their keys they can do without (``spare``): of two items that agree on s+1 keys, the rarest of
+   these is among both's keys even if each leaves out its s most frequent ones, frequency being the one order (size of the
+   group, then key). So each item leaves them out: hot keys, which would grow with the square of the table, fall out, and
+   pairs that agree on s keys only never meet, without the loss of a link.
+2. Within each key every item meets the group's hub, its member with the most company over all its keys (the original of a
+   group of near copies rather than one copy among many). Pairs are made distinct, pruned on sizes and sketches, verified;
+   components of the links are contracted (``components``).
+3. In keys of more than two members that still lie in different components, every pair across components is compared on
+   short sketches, in blocks of bounded size, and the survivors are verified.
 
 No pair of items that share a key and link is lost; large groups of copies cost one verification per member. Tables in
 between are deleted once nothing reads them.
@@ -155,7 +155,7 @@ def resolve(keys: DataFrame, meta: DataFrame, prune: Prune, verify: Verify, into
     """Components of the links among items that share a key.
 
     keys: (key long, id long, may int), any number of rows per id, repeats allowed. may: 256 * s + f, where s is how many of
-    the id's keys of family f round 3 can do without (see above). meta: (id long, n long, sketch binary of 8 bytes times a
+    the id's keys of family f it can do without (see above). meta: (id long, n long, sketch binary of 8 bytes times a
     power of two, short binary likewise), one row per id. distance(rows of a, rows of b) compares sketches (64-bit words);
     prune(n_a, n_b, distance) -> bool array, true where a link is possible. verify(pairs (a, b)) -> the pairs that link. Returns (id, component, n_links): ids in a link, the smallest id
     of the component, and the verified links that the id takes part in (a lower bound). `into` gets the paths of what the
@@ -163,28 +163,23 @@ def resolve(keys: DataFrame, meta: DataFrame, prune: Prune, verify: Verify, into
     """
     spark, tables = keys.sparkSession, []
     w = Window.partitionBy("key")
-    grouped = keys.select("key", "id", "may", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"), F.count(F.lit(1)).over(w).cast("int").alias("size"))
-    shared = written(grouped.where("lo < hi"), tables)
+    lo, hi = F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi")
+    grouped = keys.select("key", "id", "may", lo, hi, F.count(F.lit(1)).over(w).cast("int").alias("size")).where("lo < hi").drop("lo", "hi")
+    by_id = Window.partitionBy("id")
+    often = F.row_number().over(Window.partitionBy("id", "may").orderBy(F.desc("size"), F.desc("key")))
+    kept = grouped.repartition("id").select("key", "id", "may", often.alias("r"), F.sum("size").over(by_id).alias("company")).where(F.col("r") > F.shiftright("may", 8)).select("key", "id", "company")
+    hub = F.max(F.struct("company", "id")).over(w)["id"]
+    shared = written(kept.select("key", "id", lo, hi, hub.alias("hub"), F.count(F.lit(1)).over(w).cast("int").alias("size")).where("lo < hi").drop("lo", "hi"), tables)
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = written(_near_enough(pairs, meta, prune, distance), tables)
         return written(verify(near).select("a", "b").distinct(), into)
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends lie in different components (or in none)."""
-        left, right = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        return pairs.join(left, "a", "left").join(right, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-
-    links = verified(shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
+    links = verified(shared.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     comp = components(links, tables)
-    more = verified(apart(shared.where("id <> lo and id <> hi").select(F.col("id").alias("a"), F.col("hi").alias("b")).distinct()))
-    if not more.isEmpty():
-        links, comp = links.union(more), _merged(comp, more, tables)
-
-    # Groups of up to three members are done: each pair of them has met.
-    by_id = Window.partitionBy("id", "may").orderBy(F.desc("size"), F.desc("key"))
-    large = shared.where("size > 3").select("key", "id", "may", "size").repartition("id").dropDuplicates(["id", "key", "may", "size"])
-    large = large.withColumn("r", F.row_number().over(by_id)).where(F.col("r") > F.shiftright("may", 8)).select("key", "id").distinct()
+
+    # A group of two is done: its members have met.
+    large = shared.where("size > 2").select("key", "id").distinct()
     held = large.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = held.select("*", F.min("comp").over(w).alias("c0"), F.max("comp").over(w).alias("c1"), F.count(F.lit(1)).over(w).alias("size")).where("c0 < c1")
     mixed = mixed.join(meta, "id").select("key", "id", "comp", "n", "short", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
