@@ -1,0 +1,85 @@
+"""Similarities that Spark has no expression for, as vectorised functions over Arrow batches."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from . import text as X
+
+
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+
+def _sequence_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+
+    def one(x, y) -> int:
+        x, y = ([] if v is None else list(v) for v in (x, y))
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, q in enumerate(y, 1):
+                last, row[j] = row[j], last if p == q else 1 + min(last, row[j - 1], row[j])
+        return row[-1]
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def _bleu(reference: pd.Series, candidate: pd.Series) -> pd.Series:
+
+    def one(r, c) -> float:
+        r, c = ([] if v is None else list(v) for v in (r, c))
+        total = 0.0
+        for n in range(1, 5):
+            grams = Counter(tuple(c[i : i + n]) for i in range(len(c) - n + 1))
+            known = Counter(tuple(r[i : i + n]) for i in range(len(r) - n + 1))
+            hit = sum(min(k, known[g]) for g, k in grams.items())
+            if not hit:
+                return 0.0
+            total += math.log(hit / sum(grams.values())) / 4
+        return math.exp(total) * (1.0 if len(c) > len(r) else math.exp(1 - len(r) / len(c)))
+
+    return pd.Series([one(x, y) for x, y in zip(reference, candidate, strict=True)])
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity of two strings; nulls count as empty, two empty strings are alike."""
+    return pandas_udf(_ratio, "double")(a, b)
+
+
+def sequence_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two arrays."""
+    return pandas_udf(_sequence_distance, "int")(a, b)
+
+
+def bleu(reference: Column, candidate: Column) -> Column:
+    """BLEU of two token arrays over 1- to 4-grams of equal weight, without smoothing: an order without a match gives 0."""
+    return pandas_udf(_bleu, "double")(reference, candidate)
+
+
+def character_similarity(a: Column, b: Column) -> Column:
+    """Of two headers as runs of letters and digits; 0 where either is empty."""
+    x, y = X.squash(F.coalesce(a, F.lit(""))), X.squash(F.coalesce(b, F.lit("")))
+    return F.when((x == "") | (y == ""), 0.0).otherwise(ratio(x, y))
+
+
+def title_similarity(a: Column, b: Column) -> Column:
+    x, y = X.title_key(F.coalesce(a, F.lit(""))), X.title_key(F.coalesce(b, F.lit("")))
+    return F.when((x == "") | (y == ""), 0.0).otherwise(ratio(x, y))
+
+
+def same_section(a: Column, b: Column, tokens: float = 0.25, characters: float = 0.55) -> Column:
+    """Whether two headers name one section: by shared words or, where these are misread, by shared characters."""
+    return (X.header_similarity(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))) >= tokens) | (character_similarity(a, b) >= characters)
+
+
+def edit_ratio(pred: Column, gold: Column) -> Column:
+    """Ratcliff-Obershelp similarity of the normalised answers."""
+    return ratio(F.array_join(X.answer_tokens(pred), " "), F.array_join(X.answer_tokens(gold), " "))

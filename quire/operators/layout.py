@@ -158,6 +158,46 @@ def best_by_iou(pred: DataFrame, gold: DataFrame, threshold: float = 0.9, page:
     return pairs.groupBy(*page, "i").agg(F.max_by("j", F.struct(F.col("s"), -F.col("j"))).alias("j"), F.max("s").alias("s"))
 
 
+def caption_matches(boxes: DataFrame, width: float = 1000.0, height: float = 1000.0, page: Keys = ("page_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, figures without a caption, captions without a figure)."""
+    m = match_captions(boxes, width, height, page)
+    side = lambda label, k: unmatched(boxes.where(F.col("label") == label), m, k, page).select(*page, "idx")
+    return m, side("Figure", "i"), side("Caption", "j")
+
+
+def document_anchors(items: DataFrame, cross_page: bool = True) -> DataFrame:
+    """(doc_id, pos, anchor, crosses): of each visual the nearest earlier body block that is none, on its page or, if
+    cross_page, on the nearest earlier page that has one; crosses says which."""
+    visual, furniture = F.col("category").isin("Figure", "Caption", "FigByline"), F.col("category").isin("Header", "Footer", "PageNum", "Abandon")
+    by = ["doc_id"] if cross_page else ["doc_id", "page_no"]
+    w = Window.partitionBy(*by).orderBy("page_no", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    back = F.last(F.when(~visual, F.struct("pos", "page_no")), ignorenulls=True).over(w)
+    b = items.where(~furniture).withColumn("back", back).where(visual)
+    return b.select("doc_id", "pos", F.col("back.pos").alias("anchor"), (F.col("back.page_no") != F.col("page_no")).alias("crosses"))
+
+
+#: What stands inside a run of text without ending it.
+FLOATS = ("Figure", "Caption", "FigByline", "Table", "Advertisement", "Abandon", "Header", "Footer", "PageNum", "Footnote", "MarginNote")
+
+
+def merge_flow(items: DataFrame) -> DataFrame:
+    """Paragraphs that continue each other as one: (doc_id, pos of the first, n, text, x1, y1, x2, y2).
+
+    Floats are passed over, any other category ends the run. Halves are joined as by text.join_halves; boxes are united.
+    """
+    prose, floating = F.col("category") == "Paragraph", F.col("category").isin(*FLOATS)
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    seg = items.withColumn("segment", F.count_if(~prose & ~floating).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(prose)
+    v = Window.partitionBy("doc_id", "segment").orderBy("pos")
+    joins = F.coalesce(X.should_merge(F.lag("text").over(v), F.col("text")), F.lit(False))
+    para = F.sum((~F.col("joins")).cast("int")).over(v.rowsBetween(Window.unboundedPreceding, 0))
+    g = seg.withColumn("joins", joins).withColumn("para", para).groupBy("doc_id", "segment", "para")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    out = g.agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), texts.alias("t"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    text = F.aggregate(F.slice("t", 2, 1 << 20), F.element_at("t", 1), X.join_halves)
+    return out.select("doc_id", "pos", "n", text.alias("text"), "x1", "y1", "x2", "y2")
+
+
 def unmatched(boxes: DataFrame, matches: DataFrame, side: str, page: Keys = ("page_id",)) -> DataFrame:
     """Boxes that take part in no match."""
     return boxes.join(matches.select(*page, F.col(side).alias("idx")), [*page, "idx"], "left_anti")
@@ -189,3 +229,238 @@ def foreign_blocks(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
     run = boxes.withColumn("run", F.count_if(F.col("label") == "Headline").over(p.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     n = run.select(*page, "idx", body.alias("body"), (F.count_if(body).over(p) - F.count_if(body).over(Window.partitionBy(*page, "run"))).alias("foreign"))
     return n.where(~F.col("body")).drop("body")
+
+
+def no_slivers(boxes: DataFrame, least: float = 2.0) -> DataFrame:
+    """Without boxes narrower or lower than `least` pixels."""
+    return boxes.where((F.col("x2") - F.col("x1") >= least) & (F.col("y2") - F.col("y1") >= least))
+
+
+def inside(boxes: DataFrame, axis: int, start: float, end: float) -> DataFrame:
+    """Boxes that lie in an interval of an axis (0: x, 1: y)."""
+    low, high = (("x1", "x2"), ("y1", "y2"))[axis]
+    return boxes.where((F.col(low) >= start) & (F.col(high) <= end))
+
+
+def direction() -> Column:
+    return F.when(F.col("x2") - F.col("x1") >= F.col("y2") - F.col("y1"), "horizontal").otherwise("vertical")
+
+
+def region_shape(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, direction, origin): direction of at least half of the blocks, least distance of a block to the page's origin."""
+    flat = (direction() == "horizontal").cast("int")
+    return boxes.groupBy(*page).agg(F.when(F.avg(flat) >= 0.5, "horizontal").otherwise("vertical").alias("direction"), F.min(F.sqrt(F.col("x1") * F.col("x1") + F.col("y1") * F.col("y1"))).alias("origin"))
+
+
+def gutter_columns(words: DataFrame, page: Keys = ("page_id",), least: float = 4.0, share: float = 0.6) -> DataFrame:
+    """words with `col`: the x-interval that holds the word's centre (else the first). Intervals are the page's merged word
+    extents; they stay apart where the gap exceeds both `least` and `share` of the median height."""
+    p = Window.partitionBy(*page)
+    gap = words.withColumn("gap", F.greatest(F.lit(least), share * F.median(F.col("y2") - F.col("y1")).over(p)))
+    spans = column_gutters_by(gap, page)
+    spans = spans.groupBy(*page, "col").agg(F.min("x1").alias("left"), F.max("x2").alias("right"))
+    held = words.join(spans.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias("spans")), list(page))
+    cx = (F.col("x1") + F.col("x2")) / 2
+    at = F.filter(F.transform("spans", lambda s, i: F.when((s["left"] <= cx) & (cx <= s["right"]), i)), lambda i: i.isNotNull())
+    return held.withColumn("col", F.coalesce(F.get(at, 0), F.lit(0))).drop("spans")
+
+
+def column_gutters_by(words: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """column_gutters with each word's own `gap` column."""
+    w = Window.partitionBy(*page).orderBy("x1", "x2", "word")
+    far = F.max("x2").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = words.withColumn("new", F.coalesce((F.col("x1") - far > F.col("gap")).cast("int"), F.lit(0)))
+    return opened.withColumn("col", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def word_lines(words: DataFrame, tolerance: float = 2.0, page: Keys = ("page_id", "col")) -> DataFrame:
+    """words with `line` from 0: a word opens a line if its top exceeds that of the line's first word by more than tolerance."""
+    per = words.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "word"))).alias("m"))
+    z = per.withColumn("b", anchored(F.col("m.y1"), tolerance)).select(*page, F.explode(F.arrays_zip("m", "b")).alias("z"))
+    return words.join(z.select(*page, F.col("z.m.word").alias("word"), F.col("z.b").alias("line")), [*page, "word"])
+
+
+def _median(values: Column) -> Column:
+    s, n = F.array_sort(values), F.size(values)
+    mid = F.floor(n / 2).cast("int")
+    return F.when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
+
+
+def shared_baselines(lined: DataFrame, tolerance: float = 2.0, page: Keys = ("page_id", "col")) -> DataFrame:
+    """lined words with `merged`: neighbouring lines whose median lower edges differ by at most tolerance are one; the
+    running line's median is taken anew after each merge."""
+    bottoms = lined.groupBy(*page, "line").agg(F.collect_list("y2").alias("ys"))
+    per = bottoms.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line", "ys"))).alias("m"))
+    start = F.struct(F.array().cast("array<double>").alias("ys"), F.lit(-1).alias("g"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, x):
+        same = (F.size(s["ys"]) > 0) & (F.abs(_median(s["ys"]) - _median(x["ys"])) <= tolerance)
+        g = F.when(same, s["g"]).otherwise(s["g"] + 1)
+        return F.struct(F.when(same, F.concat(s["ys"], x["ys"])).otherwise(x["ys"]).alias("ys"), g.alias("g"), F.concat(s["out"], F.array(g)).alias("out"))
+
+    z = per.withColumn("b", F.aggregate("m", start, step, lambda s: s["out"])).select(*page, F.explode(F.arrays_zip("m", "b")).alias("z"))
+    return lined.join(z.select(*page, F.col("z.m.line").alias("line"), F.col("z.b").alias("merged")), [*page, "line"])
+
+
+def words_text(words: DataFrame, page: Keys = ("page_id",), tolerance: float = 2.0) -> DataFrame:
+    """(page, text): columns from left to right, lines from top to bottom, words by x; a newline between lines."""
+    by = [*page, "col"]
+    merged = shared_baselines(word_lines(gutter_columns(words, page), tolerance, by), tolerance, by)
+    line = merged.groupBy(*by, "merged").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x1", "line", "y1", "word", "text"))), lambda x: x["text"]), " ").alias("t"))
+    return line.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "merged", "t"))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def merged_intervals(boxes: DataFrame, axis: int = 0, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, part, start, end, n): boxes' extents on an axis, merged where they overlap or touch, with their members."""
+    low, high = (("x1", "x2"), ("y1", "y2"))[axis]
+    w = Window.partitionBy(*page).orderBy(low, high, "idx")
+    far = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = boxes.withColumn("far", far).withColumn("new", F.coalesce((F.col(low) > F.col("far")).cast("int"), F.lit(0)))
+    grouped = flagged.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy(*page, "part").agg(F.min(low).alias("start"), F.max(high).alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+def projection(boxes: DataFrame, axis: int = 0, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, at, n): how many boxes cover each whole position of an axis, as a sweep over their ends: a row per stretch."""
+    low, high = (("x1", "x2"), ("y1", "y2"))[axis]
+    ends = boxes.select(*page, F.explode(F.array(F.struct(F.floor(low).alias("at"), F.lit(1).alias("d")), F.struct(F.floor(high).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy(*page, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    w = Window.partitionBy(*page).orderBy("at")
+    return steps.select(*page, "at", F.lead("at").over(w).alias("until"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n")).where("until is not null")
+
+
+def segments(profile: DataFrame, least: int = 0, gap: int = 1, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, start, end): stretches of a projection above `least`; holes wider than `gap` part them."""
+    w = Window.partitionBy(*page).orderBy("at")
+    high = profile.where(F.col("n") > least)
+    new = F.coalesce((F.col("at") - F.lag("until").over(w) + 1 > gap).cast("int"), F.lit(0))
+    s = high.withColumn("new", new).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy(*page, "part").agg(F.min("at").alias("start"), F.max("until").alias("end")).drop("part")
+
+
+def flat_minima(profile: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, start, end, n): runs of equal counts of a projection that are lower than both neighbours."""
+    w = Window.partitionBy(*page).orderBy("at")
+    new = F.coalesce((F.col("n") != F.lag("n").over(w)).cast("int"), F.lit(0))
+    runs = profile.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*page, "run").agg(F.min("at").alias("start"), F.max("until").alias("end"), F.min("n").alias("n"))
+    v = Window.partitionBy(*page).orderBy("start")
+    return runs.withColumns({"before": F.lag("n").over(v), "after": F.lead("n").over(v)}).where("before > n and after > n").select(*page, "start", "end", "n")
+
+
+def segment_flags(boxes: DataFrame, indent: float = 20.0, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, idx, starts, ends): whether a block opens or closes a paragraph against its neighbours: it is indented against
+    the block before, or stops short of the one after."""
+    w = Window.partitionBy(*page).orderBy("idx")
+    starts = F.coalesce(F.col("x1") - F.lag("x1").over(w) > indent, F.lit(True))
+    ends = F.coalesce(F.lead("x2").over(w) - F.col("x2") > indent, F.lit(True))
+    return boxes.select(*page, "idx", starts.alias("starts"), ends.alias("ends"))
+
+
+def page_positions(items: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """items with reading_pos: their ordinal on the page from 0."""
+    return items.withColumn("reading_pos", F.row_number().over(Window.partitionBy(*page).orderBy("rank", "idx")) - 1)
+
+
+def heading_runs(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """boxes with `run`: how many headlines the page has had so far; regions without an order come last, in source order."""
+    w = Window.partitionBy(*page).orderBy(F.col("order").asc_nulls_last(), "idx").rowsBetween(Window.unboundedPreceding, 0)
+    return boxes.withColumn("run", F.count_if(F.col("label") == "Headline").over(w))
+
+
+def chosen_order(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """boxes with rank from 0: by `order` where every box of the page has one, else by a backend's `guess` likewise, else by
+    (y1, x1)."""
+    p = Window.partitionBy(*page)
+    full = lambda c: F.count(c).over(p) == F.count(F.lit(1)).over(p)
+    keyed = boxes.withColumns({"by": F.when(full("order"), 0).when(full("guess"), 1).otherwise(2)})
+    keyed = keyed.withColumn("sort_by", F.when(F.col("by") == 0, F.col("order")).when(F.col("by") == 1, F.col("guess")))
+    return keyed.withColumn("rank", F.row_number().over(p.orderBy("sort_by", "y1", "x1", "idx")) - 1).drop("sort_by")
+
+
+def permutation(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, order array<int>): boxes' idx by `order`; null where a box has none."""
+    g = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("order", "idx"))).alias("m"), F.count_if(F.col("order").isNull()).alias("missing"))
+    return g.select(*page, F.when(F.col("missing") == 0, F.col("m.idx")).alias("order"))
+
+
+def benchmark_order(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, order array<int>): idx by `order`, those without one last by idx; null where none has one."""
+    g = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("order", F.lit(1 << 30)).alias("o"), "idx"))).alias("m"), F.count("order").alias("n"))
+    return g.select(*page, F.when(F.col("n") > 0, F.col("m.idx")).alias("order"))
+
+
+def banded_order(boxes: DataFrame, line_height: float, line_width: float, page: Keys = ("page_id",)) -> DataFrame:
+    """boxes with rank from 0: by rows of line_height, then columns of line_width, then distance to the origin."""
+    w = Window.partitionBy(*page).orderBy(F.floor(F.col("y1") / line_height), F.floor(F.col("x1") / line_width), F.col("x1") * F.col("x1") + F.col("y1") * F.col("y1"), "idx")
+    return boxes.withColumn("rank", F.row_number().over(w) - 1)
+
+
+def tiered_order(regions: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """regions with rank from 0: those with a median line rank by it, other regions of the flow by (y1, x1), the rest last."""
+    tier = F.when(~F.col("in_flow"), 2).when(F.col("line_rank").isNull(), 1).otherwise(0)
+    k = F.when(tier == 0, F.col("line_rank")).otherwise(F.col("y1"))
+    w = Window.partitionBy(*page).orderBy(tier, k, F.when(tier == 0, 0.0).otherwise(F.col("x1")), "idx")
+    return regions.withColumn("rank", F.row_number().over(w) - 1)
+
+
+def resolved_order(given: DataFrame, boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, idx, rank from 0) of an order given as (page, at, idx): unknown boxes and repeats are dropped."""
+    known = given.join(boxes.select(*page, "idx").distinct(), [*page, "idx"], "left_semi").groupBy(*page, "idx").agg(F.min("at").alias("at"))
+    return known.select(*page, "idx", (F.row_number().over(Window.partitionBy(*page).orderBy("at", "idx")) - 1).alias("rank"))
+
+
+def neighbours(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, idx, parent, previous, following): the smallest box that holds this one, and its nearest neighbours above and
+    below among those that share its horizontal extent (any overlap)."""
+    cols = ["x1", "y1", "x2", "y2"]
+    o = boxes.select(*page, F.col("idx").alias("o"), *[F.col(c).alias(f"o_{c}") for c in cols])
+    j = boxes.select(*page, "idx", *cols).join(o, list(page)).where("idx <> o")
+    holds = (F.col("o_x1") <= F.col("x1")) & (F.col("o_y1") <= F.col("y1")) & (F.col("o_x2") >= F.col("x2")) & (F.col("o_y2") >= F.col("y2"))
+    beside = G.axis_gap(F.col("x1"), F.col("x2"), F.col("o_x1"), F.col("o_x2")) < 0
+    above, below = beside & (F.col("o_y2") <= F.col("y1")), beside & (F.col("o_y1") >= F.col("y2"))
+    g = j.groupBy(*page, "idx").agg(
+        F.min(F.when(holds, F.struct(G.area(G.box("o_")).alias("a"), "o"))).alias("p"),
+        F.max(F.when(above, F.struct("o_y2", (-F.col("o")).alias("k")))).alias("u"),
+        F.min(F.when(below, F.struct("o_y1", "o"))).alias("d"),
+    )
+    return boxes.select(*page, "idx").join(g.select(*page, "idx", F.col("p.o").alias("parent"), (-F.col("u.k")).alias("previous"), F.col("d.o").alias("following")), [*page, "idx"], "left")
+
+
+def with_children(boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """Parents grown to the union with their children (and these' children): (page, idx, children, x1..y2); boxes with a
+    parent are not listed. boxes: (page, idx, parent, x1..y2), parents one level deep after flattening."""
+    top = boxes.select(*page, F.col("idx").alias("parent"), F.col("parent").alias("grand"))
+    flat = boxes.join(top, [*page, "parent"], "left").withColumn("root", F.coalesce("grand", "parent", "idx"))
+    g = flat.groupBy(*page, "root").agg(F.array_sort(F.collect_list(F.when(F.col("idx") != F.col("root"), F.col("idx")))).alias("children"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    return g.withColumnRenamed("root", "idx")
+
+
+def order_by_match(boxes: DataFrame, gold: DataFrame, order: DataFrame, threshold: float = 0.3, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, idx, rank from 0): boxes in the order of the gold box that they overlap most, those without one last by idx.
+    order: (page, j, order)."""
+    best = best_by_iou(boxes, gold, threshold, page).select(*page, F.col("i").alias("idx"), "j").join(order, [*page, "j"])
+    keyed = boxes.select(*page, "idx").join(best.select(*page, "idx", "order"), [*page, "idx"], "left")
+    w = Window.partitionBy(*page).orderBy(F.coalesce("order", F.lit(1_000_000) + F.col("idx")), "idx")
+    return keyed.select(*page, "idx", (F.row_number().over(w) - 1).alias("rank"))
+
+
+def relabelled(pred: DataFrame, gold: DataFrame, threshold: float = 0.5, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, idx, text): predictions take the text of the gold box they are matched to, a sentinel where there is none."""
+    m = match_by_iou(pred, gold, threshold, page).select(*page, F.col("i").alias("idx"), "j")
+    named = m.join(gold.select(*page, F.col("idx").alias("j"), F.col("text").alias("gold_text")), [*page, "j"])
+    return pred.select(*page, "idx").join(named.select(*page, "idx", "gold_text"), [*page, "idx"], "left").select(*page, "idx", F.coalesce("gold_text", X.stub(F.col("idx"), "__UNMATCHED")).alias("text"))
+
+
+def match_scaled(items: DataFrame, annotations: DataFrame, sizes: DataFrame, threshold: float = 0.5, page: Keys = ("page_id",)) -> DataFrame:
+    """match_by_iou of items against annotations that are first rescaled by each page's factors (page, fx, fy; 1 where missing)."""
+    f = annotations.join(sizes, list(page), "left")
+    k = {"x1": "fx", "x2": "fx", "y1": "fy", "y2": "fy"}
+    return match_by_iou(items, f.select(*page, "idx", *[(F.col(c) * F.coalesce(F.col(s), F.lit(1.0))).alias(c) for c, s in k.items()]), threshold, page)
+
+
+def line_metrics(lines: DataFrame, boxes: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
+    """(page, idx, height, width, n): mean size and number of the text lines (w_x1..w_y2) whose centre a block holds."""
+    cx, cy = (F.col("w_x1") + F.col("w_x2")) / 2, (F.col("w_y1") + F.col("w_y2")) / 2
+    held = cx.between(F.col("x1"), F.col("x2")) & cy.between(F.col("y1"), F.col("y2"))
+    return lines.join(boxes, list(page)).where(held).groupBy(*page, "idx").agg(F.avg(F.col("w_y2") - F.col("w_y1")).alias("height"), F.avg(F.col("w_x2") - F.col("w_x1")).alias("width"), F.count(F.lit(1)).alias("n"))

@@ -36,19 +36,45 @@ def kendall_tau(ranks: DataFrame, by: Sequence[str], item: str, a: str, b: str)
     return groups.select(*by, tau.alias("tau"))
 
 
-def idf(keys: DataFrame, scope: str, article: str, key: str) -> DataFrame:
-    """(scope, key, df, weight): ln(N/df)+1 within a scope of N articles, 0 beyond max(2, N/4) documents."""
-    n = keys.groupBy(scope).agg(F.count_distinct(article).alias("n"))
-    df = keys.groupBy(scope, key).agg(F.count_distinct(article).alias("df")).join(n, scope)
+def idf(keys: DataFrame, articles: DataFrame, scope: str, article: str, key: str) -> DataFrame:
+    """(scope, key, df, weight): ln(N/df)+1 within a scope of N articles (all of them, with keys or not), 0 beyond max(2, N/4).
+
+    Distinct rows come first, so that the counts need no distinct and a large scope spreads over its keys.
+    """
+    n = articles.select(scope, article).distinct().groupBy(scope).agg(F.count(F.lit(1)).alias("n"))
+    df = keys.select(scope, article, key).distinct().groupBy(scope, key).agg(F.count(F.lit(1)).alias("df")).join(n, scope)
     w = F.when(F.col("df") > F.greatest(F.lit(2.0), 0.25 * F.col("n")), 0.0).otherwise(F.log(F.col("n") / F.col("df")) + 1)
     return df.select(scope, key, "df", w.alias("weight"))
 
 
+def indexed_f1(docs: DataFrame, items: DataFrame, least: int = 3, letters: int = 7) -> DataFrame:
+    """(doc_id, item_id, n_pred, n_gold, n_common, f1) of the pairs that share `least` distinct tokens of so many letters.
+
+    docs (doc_id, text), items (item_id, text). Tokens are counted once per document and item, pairs come from an inverted
+    index over the long tokens, and only these pairs are scored; texts are never copied to pairs.
+    """
+    count = lambda df, k: df.select(k, F.explode(X.answer_tokens(F.col("text"))).alias("w")).groupBy(k, "w").agg(F.count(F.lit(1)).alias("n"))
+    d, i = count(docs, "doc_id"), count(items, "item_id")
+    long = F.length("w") >= letters
+    pairs = d.where(long).select("doc_id", "w").join(i.where(long).select("item_id", "w"), "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least).select("doc_id", "item_id")
+    size = lambda df, k, name: df.groupBy(k).agg(F.sum("n").alias(name))
+    common = pairs.join(i.withColumnRenamed("n", "g"), "item_id").join(d.withColumnRenamed("n", "p"), ["doc_id", "w"]).groupBy("doc_id", "item_id").agg(F.sum(F.least("p", "g")).alias("n_common"))
+    out = common.join(size(d, "doc_id", "n_pred"), "doc_id").join(size(i, "item_id", "n_gold"), "item_id")
+    return out.select("doc_id", "item_id", "n_pred", "n_gold", "n_common", (F.lit(2.0) * F.col("n_common") / (F.col("n_pred") + F.col("n_gold"))).alias("f1"))
+
+
+def shared_key_pairs(weighted: DataFrame, most: int = 10) -> DataFrame:
+    """(a, b): ids (a < b) that share a key which at most `most` ids have; a key of so few ids makes few pairs."""
+    n = weighted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).select("key")
+    k = weighted.join(n, "key").select("key", "id")
+    return k.select("key", F.col("id").alias("a")).join(k.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+
+
 def category_counts(rows: DataFrame, category: str) -> DataFrame:
     """Counts and shares of each category, and a TOTAL row."""
     g = rows.rollup(category).agg(F.count(F.lit(1)).alias("n"), F.grouping(category).alias("g"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return g.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col(category)).alias("category"), "n", (F.col("n") / F.col("total")).alias("share"))
+    return g.crossJoin(F.broadcast(total)).select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col(category)).alias("category"), "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def confusion(rows: DataFrame, gold: str, pred: str) -> DataFrame:
@@ -84,15 +110,15 @@ def rarest_keys(weighted: DataFrame, by: Sequence[str], k: int = 10) -> DataFram
 
 
 def weighted_similarity(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) of ids over weighted sets (id, key, weight): shared weight by the root of the
-    product of both weights, 1 at most, 0 where nothing is shared."""
+    """(a, b, similarity, shared) of pairs (a, b) of ids over weighted sets (id, key, weight): shared weight by the root of the
+    product of both weights, 1 at most, 0 where nothing is shared; shared: the keys that did it, by weight, then key."""
     total = weighted.groupBy("id").agg(F.sum("weight").alias("total"))
     left = weighted.select(F.col("id").alias("a"), "key", "weight")
     right = weighted.select(F.col("id").alias("b"), "key")
-    shared = pairs.join(left, "a").join(right, ["b", "key"]).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
+    shared = pairs.join(left, "a").join(right, ["b", "key"]).where("weight > 0").groupBy("a", "b").agg(F.sum("weight").alias("both"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "key"))), lambda x: x["key"]).alias("shared"))
     out = pairs.join(shared, ["a", "b"], "left").join(total.select(F.col("id").alias("a"), F.col("total").alias("ta")), "a", "left").join(total.select(F.col("id").alias("b"), F.col("total").alias("tb")), "b", "left")
     product = F.sqrt(F.col("ta") * F.col("tb"))
-    return out.select("a", "b", F.when((product > 0) & F.col("shared").isNotNull(), F.least(F.lit(1.0), F.col("shared") / product)).otherwise(0.0).alias("similarity"))
+    return out.select("a", "b", F.when((product > 0) & F.col("both").isNotNull(), F.least(F.lit(1.0), F.col("both") / product)).otherwise(0.0).alias("similarity"), F.coalesce("shared", F.array().cast("array<string>")).alias("shared"))
 
 
 def most_common_articles(items: DataFrame, page: str) -> DataFrame:

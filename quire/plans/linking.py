@@ -8,9 +8,11 @@ from ..functions import text as X
 from ..operators import layout as L
 from ..operators import scores as S
 from ..sources import layouts as T
-from ..sources.layouts import BOXES, ITEMS, LINES, PREDICTED
-from .registry import _SESSION, _greedy, _iou, _r, query
+from ..sources.layouts import BLOCKS, BOXES, ITEMS, LINES, PREDICTED
+from .registry import _COST, _SESSION, _greedy, _iou, _r, query
 
+_WORDS = "[\\p{L}\\p{N}_]+"
+_STEM = "^(.{5,}?)(?:jema|jevi|jeva|jevo|jem|jev|jih|oma|ama|ega|emu|ovi|ova|ovo|ov|om|em|ju|ja|je|mi|ih|ah|am|u|a|e|i|o)$"
 _FOLD = "strip_accents(replace(lower({c}), 'ß', 'ss'))"
 _SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -28,27 +30,27 @@ def str11_squash(spark, sf):
     return T.lines(spark, sf).select("doc_id", "pos", X.squash(F.col("text")).alias("squashed"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) pos, len(regexp_extract_all(text, '{X.WORD}')) BETWEEN 1 AND 8 AS is_header FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) pos, len(regexp_extract_all(text, '{_WORDS}')) BETWEEN 1 AND 8 AS is_header FROM lines")
 def str15_running_header(spark, sf):
     return T.lines(spark, sf).select("doc_id", "pos", X.is_running_header(F.col("text")).alias("is_header"))
 
 
-_PARTS = f"list_filter(string_split(regexp_replace({_FOLD.format(c='left(text, 60)')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_PARTS = f"list_filter(string_split(regexp_replace({_FOLD.format(c='text')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-@query(f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) pos, array_to_string(list_transform({_PARTS}, lambda w: regexp_replace(w, '{X.STEM}', '\\1')), ' ') AS key FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) pos, array_to_string(list_transform({_PARTS}, lambda w: regexp_replace(w, '{_STEM}', '\\1')), ' ') AS key FROM lines")
 def str17_entity_key(spark, sf):
-    return T.lines(spark, sf).select("doc_id", "pos", X.entity_key(F.substring("text", 1, 60)).alias("key"))
+    return T.lines(spark, sf).select("doc_id", "pos", X.entity_key(F.col("text")).alias("key"))
 
 
-@query(f"""WITH {LINES}, k AS (SELECT doc_id, pos, array_to_string(list_transform({_PARTS}, lambda w: regexp_replace(w, '{X.STEM}', '\\1')), ' ') AS k FROM lines)
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, pos, array_to_string(list_transform({_PARTS}, lambda w: regexp_replace(w, '{_STEM}', '\\1')), ' ') AS k FROM lines)
 SELECT doc_id, CAST(pos AS INTEGER) pos, list_filter([k, CASE WHEN contains(k, ' ') AND pos % 2 = 0 THEN string_split(k, ' ')[-1] END], lambda x: x <> '') AS keys FROM k""")
 def str19_entity_keys(spark, sf):
     label = F.when(F.col("pos") % 2 == 0, "PER").otherwise("LOC")
-    return T.lines(spark, sf).select("doc_id", "pos", X.entity_keys(F.substring("text", 1, 60), label).alias("keys"))
+    return T.lines(spark, sf).select("doc_id", "pos", X.entity_keys(F.col("text"), label).alias("keys"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) pos, array_to_string(regexp_extract_all(lower(text), '{X.WORD}'), ' ') title FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) pos, array_to_string(regexp_extract_all(lower(text), '{_WORDS}'), ' ') title FROM lines")
 def str20_title_key(spark, sf):
     return T.lines(spark, sf).select("doc_id", "pos", X.title_key(F.col("text")).alias("title"))
 
@@ -127,20 +129,22 @@ def agg10_block_medians(spark, sf):
     return T.boxes(spark, sf).groupBy("page_id").agg(F.median(h).alias("height"), _r(F.avg(h)).alias("mean_height"), _r(F.avg(w)).alias("mean_width"), F.count(F.lit(1)).alias("n"))
 
 
-_WEIGHTED = LINES + """, k AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS key FROM lines), n AS (SELECT source, count(DISTINCT doc_id) n FROM k GROUP BY source),
+_WEIGHTED = LINES + """, k AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS key FROM lines), n AS (SELECT source, count(*) n FROM documents GROUP BY source),
 d AS (SELECT source, key, count(*) df FROM k GROUP BY source, key), w AS (SELECT source, doc_id, key, CASE WHEN df > greatest(2.0, 0.25 * n) THEN 0.0 ELSE ln(n / df) + 1 END weight FROM k JOIN d USING (source, key) JOIN n USING (source))"""
 
 
 def _weighted(spark, sf):
     k = T.lines(spark, sf).select("source", "doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{3,})"), 1)).alias("key")).distinct()
-    return k.join(S.idf(k, "source", "doc_id", "key"), ["source", "key"])
+    return k.join(S.idf(k, T.table(spark, sf, "documents"), "source", "doc_id", "key"), ["source", "key"])
 
 
-@query(f"WITH {_WEIGHTED}, t AS (SELECT doc_id, sum(weight) t FROM w GROUP BY doc_id), p AS (SELECT a.doc_id a, b.doc_id b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), s AS (SELECT p.a, p.b, sum(x.weight) s FROM p JOIN w x ON x.doc_id = p.a JOIN w y ON y.doc_id = p.b AND x.key = y.key GROUP BY ALL) SELECT p.a, p.b, round(CASE WHEN ta.t * tb.t > 0 AND s IS NOT NULL THEN least(1.0, s / sqrt(ta.t * tb.t)) ELSE 0.0 END, 5) similarity FROM p LEFT JOIN s USING (a, b) LEFT JOIN t ta ON ta.doc_id = p.a LEFT JOIN t tb ON tb.doc_id = p.b")
+@query(f"""WITH {_WEIGHTED}, t AS (SELECT doc_id, sum(weight) t FROM w GROUP BY doc_id), c AS (SELECT key FROM w GROUP BY key HAVING count(*) BETWEEN 2 AND 10), p AS (SELECT DISTINCT x.doc_id a, y.doc_id b FROM w x JOIN w y ON x.key = y.key AND x.doc_id < y.doc_id WHERE x.key IN (SELECT key FROM c)),
+s AS (SELECT p.a, p.b, sum(x.weight) s, list(x.key ORDER BY x.weight DESC, x.key) shared FROM p JOIN w x ON x.doc_id = p.a JOIN w y ON y.doc_id = p.b AND x.key = y.key WHERE x.weight > 0 GROUP BY ALL)
+SELECT p.a, p.b, round(CASE WHEN ta.t * tb.t > 0 AND s IS NOT NULL THEN least(1.0, s / sqrt(ta.t * tb.t)) ELSE 0.0 END, 5) similarity, coalesce(shared, []) shared FROM p LEFT JOIN s USING (a, b) LEFT JOIN t ta ON ta.doc_id = p.a LEFT JOIN t tb ON tb.doc_id = p.b""")
 def agg13_weighted_similarity(spark, sf):
-    d = T.table(spark, sf, "documents")
-    pairs = d.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(d.select(F.col("doc_id").alias("b")), "b").select("a", "b")
-    return S.weighted_similarity(pairs, _weighted(spark, sf).select(F.col("doc_id").alias("id"), "key", "weight")).withColumn("similarity", _r("similarity", 5))
+    """Of all documents that share a key which ten documents have at most, with the keys that they share."""
+    w = _weighted(spark, sf).select(F.col("doc_id").alias("id"), "key", "weight")
+    return S.weighted_similarity(S.shared_key_pairs(w), w).withColumn("similarity", _r("similarity", 5))
 
 
 @query(f"WITH {LINES} SELECT source, list_sort(list(DISTINCT key)) AS keys FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Z][a-z]{{7,}}')) AS key FROM lines) GROUP BY source")
@@ -152,3 +156,33 @@ def agg14_key_union(spark, sf):
 @query(f"WITH {_WEIGHTED}, r AS (SELECT doc_id, key, weight, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, key) AS INTEGER) rank FROM w) SELECT doc_id, key, round(weight, 6) weight, rank FROM r WHERE rank <= 10")
 def agg15_rarest_keys(spark, sf):
     return S.rarest_keys(_weighted(spark, sf), ["doc_id"]).select("doc_id", "key", _r("weight").alias("weight"), "rank")
+
+
+@query(f"WITH {BLOCKS}, b AS (SELECT *, last_value(CASE WHEN category NOT IN ('Figure', 'Caption', 'FigByline') THEN pos END IGNORE NULLS) OVER w anchor, last_value(CASE WHEN category NOT IN ('Figure', 'Caption', 'FigByline') THEN page_no END IGNORE NULLS) OVER w page FROM blocks WHERE category <> 'Abandon' WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc_id, pos, anchor, page <> page_no crosses FROM b WHERE category IN ('Figure', 'Caption', 'FigByline')")
+def jn12_document_anchors(spark, sf):
+    """With the fallback to the nearest earlier page."""
+    return L.document_anchors(T.blocks(spark, sf))
+
+
+_FLOW = f"""{BLOCKS}, s AS (SELECT *, CASE WHEN pos % 2 = 1 THEN lower(substr(text, 1, 1)) || substr(text, 2) ELSE text END raw FROM blocks), q AS (SELECT doc_id, pos, CASE WHEN category IN ('Headline', 'Subhead', 'Section') THEN category WHEN category IN ('Figure', 'Caption', 'Footnote') THEN category ELSE 'Paragraph' END category, regexp_replace(raw, '[.]$', CASE WHEN pos % 3 = 0 THEN '-' ELSE '' END) t, x1, y1, x2, y2 FROM s),
+g AS (SELECT *, count(*) FILTER (category IN ('Headline', 'Subhead', 'Section')) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) segment FROM q), p AS (SELECT *, lag(t) OVER (PARTITION BY doc_id, segment ORDER BY pos) prev FROM g WHERE category = 'Paragraph'),
+j AS (SELECT *, coalesce(trim(prev, ' ') <> '' AND trim(t, ' ') <> '' AND NOT regexp_matches(prev, '[.!?\\x{{2026}}\\x{{3002}}]["'')\\]\\x{{bb}}\\x{{201d}}\\x{{2019}}]*\\s*$') AND regexp_matches(t, '^\\s*[\\p{{Ll}}\\p{{Nd}},;)\\x{{2013}}-]'), false) joins FROM p),
+k AS (SELECT *, sum(CAST(NOT joins AS INTEGER)) OVER (PARTITION BY doc_id, segment ORDER BY pos ROWS UNBOUNDED PRECEDING) para FROM j)
+SELECT doc_id, min(pos) pos, count(*) n, string_agg(CASE WHEN NOT joins THEN '' WHEN suffix(prev, '-') AND regexp_matches(t, '^\\p{{Ll}}') THEN '' ELSE ' ' END || CASE WHEN suffix(t, '-') AND nx THEN regexp_replace(t, '-$', '') ELSE t END, '' ORDER BY pos) AS "text", min(x1) x1, min(y1) y1, max(x2) x2, max(y2) y2 FROM (SELECT *, coalesce(lead(joins) OVER (PARTITION BY doc_id, segment ORDER BY pos) AND regexp_matches(lead(t) OVER (PARTITION BY doc_id, segment ORDER BY pos), '^\\p{{Ll}}'), false) nx FROM k) GROUP BY doc_id, segment, para"""
+
+
+@query(f"WITH {_FLOW}")
+def win04_merge_flow(spark, sf):
+    """Paragraphs across floats, joined at hyphens, with the union of their boxes (PRJ-03, STR-07)."""
+    b = T.blocks(spark, sf)
+    low = F.when(F.col("pos") % 2 == 1, F.concat(F.lower(F.substring("text", 1, 1)), F.expr("substring(text, 2)"))).otherwise(F.col("text"))
+    text = F.when(F.col("pos") % 3 == 0, F.regexp_replace(low, "[.]$", "-")).otherwise(F.regexp_replace(low, "[.]$", ""))
+    kept = F.when(F.col("category").isin("Headline", "Subhead", "Section", "Figure", "Caption", "Footnote"), F.col("category")).otherwise("Paragraph")
+    return L.merge_flow(b.withColumn("category", kept).withColumn("text", text))
+
+
+@query(f"WITH {BOXES}, pairs AS ({_COST}), m AS ({'WITH ' + _greedy('pairs', '+')}) SELECT page_id, idx, label FROM boxes b WHERE (label = 'Figure' AND NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = b.page_id AND m.i = b.idx)) OR (label = 'Caption' AND NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = b.page_id AND m.j = b.idx))")
+def jn06_unmatched_captions(spark, sf):
+    """Figures and captions that the match leaves over."""
+    _, f, c = L.caption_matches(T.boxes(spark, sf))
+    return f.select("page_id", "idx", F.lit("Figure").alias("label")).unionByName(c.select("page_id", "idx", F.lit("Caption").alias("label")))

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reach(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package, wherever the driver was started."""
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if ROOT not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,3 +73,22 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES = """
 lines AS (SELECT doc_id, source, unnest(generate_series(0, len(ls) - 1)) AS pos, unnest(ls) AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents))"""
+
+
+#: Categories that the blocks of a document run through.
+CYCLE = ("Headline", "Kicker", "Paragraph", "Figure", "Caption", "Paragraph", "Subhead", "Quote", "Advertisement", "Footnote", "Section", "Question", "Dropcap", "Paragraph", "Abandon", "FigByline")
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' lines as page blocks: (doc_id, page_no, pos, category, text, figure_id, x1, y1, x2, y2); six to a page. A caption
+    belongs to the figure before it; one that opens a document, and every byline of a figure, to none."""
+    at = ((F.col("pos") + F.col("doc_id")) % len(CYCLE)).cast("int")
+    b = lines(spark, sf_dir).select("doc_id", (F.floor(F.col("pos") / 6) + 1).cast("int").alias("page_no"), "pos", F.element_at(F.array(*map(F.lit, CYCLE)), at + 1).alias("category"), "text")
+    figure = F.when((F.col("category") == "Caption") & (F.col("pos") > 0), F.col("pos") - 1)
+    y = (F.col("pos") % 6 * 150).cast("double")
+    return b.select("*", figure.alias("figure_id"), F.lit(50.0).alias("x1"), y.alias("y1"), F.lit(950.0).alias("x2"), (y + 140).alias("y2"))
+
+
+BLOCKS = f"""{LINES.strip()},
+blocks AS (SELECT *, CASE WHEN category = 'Caption' AND pos > 0 THEN pos - 1 END AS figure_id, 50.0::DOUBLE AS x1, CAST(pos % 6 * 150 AS DOUBLE) AS y1, 950.0::DOUBLE AS x2, CAST(pos % 6 * 150 + 140 AS DOUBLE) AS y2
+  FROM (SELECT doc_id, CAST(pos // 6 + 1 AS INTEGER) AS page_no, CAST(pos AS INTEGER) AS pos, list_extract({list(CYCLE)!r}, (pos + doc_id) % {len(CYCLE)} + 1) AS category, text FROM lines))"""

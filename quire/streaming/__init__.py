@@ -1 +1 @@
-"""streaming of the layout engine."""
+"""Streams of the layout engine."""
