@@ -25,8 +25,9 @@ from .common import written
 BLOCK, QUERIES = 4096, 512
 #: Query bits per component, and standard errors by which bounds are widened.
 PLANES, WIDTH = 6, 3.0
-#: Vectors that centroids are fitted on (those of least hash), at most.
-SAMPLE = 16384
+#: Vectors that centroids are fitted on (those of least hash), at most, and of these the queries that tell how many clusters
+#: a query must probe.
+SAMPLE, TRIALS = 16384, 256
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -47,6 +48,26 @@ def centroids(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
+def probes_for(x: np.ndarray, cents: np.ndarray, k: int, target: float) -> int:
+    """Clusters to probe so that the share `target` of the k nearest is met, measured on the sample: TRIALS of its vectors
+    against all of it. Neighbours in a sample lie further off than among all vectors, so the measure errs on the safe side."""
+    if len(x) <= 1:
+        return len(cents)
+    q = x[:: max(1, len(x) // TRIALS)][:TRIALS]
+    home, half, own = nearest(x, cents), (x * x).sum(1), (cents * cents).sum(1)
+    ranks = []
+    for at in range(0, len(q), 64):
+        part = q[at : at + 64]
+        d = half[None, :] - 2 * part @ x.T
+        near = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]  # the first is the query itself
+        order = np.argsort(own[None, :] - 2 * part @ cents.T, axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(len(cents)), order.shape), 1)
+        ranks.append(np.take_along_axis(place, home[near], 1).reshape(-1))
+    r = np.sort(np.concatenate(ranks))
+    return int(r[min(len(r) - 1, math.ceil(target * len(r)))]) + 1
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(1)[None, :] - 2 * x @ c.T, axis=1)
 
@@ -109,13 +130,28 @@ def _assign(cents: np.ndarray, probes: int):
     return run
 
 
+def _place(cents: np.ndarray, rot: np.ndarray):
+    """Vectors -> the index: cluster, packed code and the two correction scalars, made once."""
+
+    def run(batches):
+        for pdf in batches:
+            x = np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+            home = nearest(x, cents) if len(x) else np.zeros(0, dtype=int)
+            codes, length, cos = encode(x, cents[home], rot) if len(x) else (np.zeros((0, 1), dtype=np.uint64), np.zeros(0), np.zeros(0))
+            pdf["cluster"], pdf["code"], pdf["length"], pdf["cos"] = home.astype(np.int32), [c.tobytes() for c in codes], length, cos
+            yield pdf
+
+    return run
+
+
 def _search(cents: np.ndarray, rot: np.ndarray, k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"qid": [], "id": [], "score": []}).astype({"qid": "int64", "id": "int64", "score": "float64"})
         centre = cents[int(rows["cluster"].iloc[0])]
         x = np.array(rows["v"].tolist(), dtype=np.float64)
-        codes, length, cos = encode(x, centre, rot)
+        codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint64).reshape(len(rows), -1)
+        length, cos = rows["length"].to_numpy(), rows["cos"].to_numpy()
         ids = rows["ids"].tolist()
         n_ids = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         out = []
@@ -137,13 +173,15 @@ def _search(cents: np.ndarray, rot: np.ndarray, k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, clusters: int | None = None, probe_share: float = 0.25, least_probes: int = 16, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, clusters: int | None = None, recall: float = 0.97, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest found of every query row among all other rows: (query_id, rank from 1, vec_id, score), nearest first.
 
     is_query: condition on the column `id`. score: Euclidean distance of the original vectors in double precision, ties
     to the smaller id. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
-    whose length differs from the most frequent one. A query probes the probe_share (least_probes at least) of the
-    clusters whose centroids are nearest; fewer candidates than k give fewer rows.
+    whose length differs from the most frequent one. A query probes the clusters whose centroids are
+    nearest, as many as the sample says are needed for the share `recall` of its neighbours (1.0: all, then only the bounds'
+    own chance of error is left); vectors without clusters of their own, as in high dimensions, need about half of them.
+    Fewer candidates than k give fewer rows.
     """
     spark = vectors.sparkSession
     rows = _valid(vectors, id_col, vec_col)
@@ -157,19 +195,19 @@ def search(vectors: DataFrame, is_query, k: int = 10, clusters: int | None = Non
     distinct = written(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("vid"), "v", "ids"))
     n = distinct.count()
     sample = np.array([r["v"] for r in distinct.select("v", F.xxhash64("vid").alias("h")).orderBy("h").limit(SAMPLE).collect()], dtype=np.float64)
-    cents = centroids(sample, clusters or max(1, min(1024, round(math.sqrt(n)))), seed)
-    probes = min(len(cents), max(least_probes, math.ceil(probe_share * len(cents))))
+    cents = centroids(sample, clusters or max(1, min(SAMPLE // 4, round(math.sqrt(n)))), seed)
+    probes = len(cents) if recall >= 1 else probes_for(sample, cents, k, recall)
     rot = rotation(dim, seed)
 
-    placed = written(distinct.mapInPandas(_assign(cents, 1), "vid long, v array<double>, ids array<long>, cluster array<int>").select("vid", "v", "ids", F.element_at("cluster", 1).alias("cluster")))
+    placed = written(distinct.mapInPandas(_place(cents, rot), "vid long, v array<double>, ids array<long>, cluster int, code binary, length double, cos double"))
     asked = written(rows.where(is_query).select("id", "v"))
     queries = asked.groupBy("v").agg(F.min("id").alias("qid")).select("qid", "v")
     probed = written(queries.mapInPandas(_assign(cents, probes), "qid long, v array<double>, cluster array<int>").select("qid", "v", F.explode("cluster").alias("cluster")))
-    # Both tables have a row per cluster, of which there are 1024 at most.
+    # Both tables have a row per cluster, of which there are SAMPLE / 4 at most.
     parts = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).join(probed.groupBy(F.col("cluster").alias("c2")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("qparts")), F.col("cluster") == F.col("c2")).select("cluster", "parts", "qparts")
     parts = F.broadcast(written(parts))
     left = probed.join(parts, "cluster").withColumn("qpart", F.pmod(F.xxhash64("qid"), F.col("qparts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "part", "qpart", "qid", "v")
-    right = placed.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1))).select("cluster", "part", "qpart", "v", "ids")
+    right = placed.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1))).select("cluster", "part", "qpart", "v", "ids", "code", "length", "cos")
     key = ["cluster", "part", "qpart"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_search(cents, rot, k + 1), "qid long, id long, score double")
     wq = Window.partitionBy("qid").orderBy("score", "id")

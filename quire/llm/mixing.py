@@ -12,6 +12,7 @@ beyond that the same steps run as DataFrame aggregations, so no size of the tabl
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -65,6 +66,8 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], wanted: list[np.ndarray],
             w *= f[c]
         if worst < tol:
             break
+    else:
+        warnings.warn(f"raking stopped after {rounds} rounds with a marginal off by {worst:.1e}; the targets may contradict each other", stacklevel=2)
     return w
 
 
@@ -179,6 +182,7 @@ def sample_mix(docs: DataFrame, targets=None, keep_share: float = 0.5, seed: int
     """The documents that mix() keeps, columns unchanged."""
     rows, name = _described(docs, text_col, source_col, lang_col, topic_col)
     prob = _probabilities(rows.select(f"{name}.*"), targets, keep_share, rounds, most_cells)
-    p = prob.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("p").alias("__p"))
-    on = [rows[name][d] == p[f"__{d}"] for d in DIMENSIONS]
-    return rows.join(p, on).where(_uniform(F.col(id_col), seed) < F.col("__p")).select(*docs.columns)
+    cols = {c: fresh_name(rows, f"mix_{c}") for c in (*DIMENSIONS, "p")}
+    p = prob.select(*[F.col(c).alias(n) for c, n in cols.items()])
+    on = [F.col(name)[d] == F.col(cols[d]) for d in DIMENSIONS]
+    return rows.join(p, on).where(_uniform(F.col(id_col), seed) < F.col(cols["p"])).select(*docs.columns)

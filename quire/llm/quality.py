@@ -81,9 +81,12 @@ def _shares() -> dict[str, Column]:
     return {"symbol_share": ratio("n_symbols", "word_chars"), "dup_line_share": ratio("n_dup_lines", "n_lines"), "repeat_share": ratio("n_repeat_words", "n_words"), "mean_word": ratio("word_chars", "n_words")}
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
+def thresholds(measured: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     """(lang, source) -> lower and upper cutoff of each measure, from merged KLL sketches.
 
+    Groups of fewer than least_group documents take the cutoffs of their language, languages of fewer those of the corpus.
+    Sketches are compacted at random, so that two runs may differ in a cutoff by the sketch's error (0.4 % of rank).
+
     measured: lang, source and the base counts. Documents without words have no say. The result has a row per group.
     """
     rows = measured.where("n_words > 0").select("lang", "source", *[c.alias(k) for k, c in _shares().items()])
@@ -96,8 +99,8 @@ def thresholds(measured: DataFrame) -> DataFrame:
     own = fine.select("lang", "source", F.struct("n", *[_cut(k).alias(k) for k in MEASURES]).alias("own"))
     by_lang, all_ = level(["lang"], "by_lang"), level([], "total")
     langs = by_lang.withColumnRenamed("lang", "lang_")
-    out = own.join(langs, own["lang"].eqNullSafe(langs["lang_"]), "left").withColumn("one", F.lit(1)).join(F.broadcast(all_.withColumn("one", F.lit(1))), "one", "left")
-    chosen = F.when(F.col("own.n") >= LEAST_GROUP, F.col("own")).when(F.col("by_lang.n") >= LEAST_GROUP, F.col("by_lang")).otherwise(F.col("total"))
+    out = own.join(langs, own["lang"].eqNullSafe(langs["lang_"]), "left").crossJoin(F.broadcast(all_))  # of one row
+    chosen = F.when(F.col("own.n") >= least_group, F.col("own")).when(F.col("by_lang.n") >= least_group, F.col("by_lang")).otherwise(F.col("total"))
     return out.select("lang", "source", chosen.alias("cut"))
 
 
@@ -121,7 +124,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_group: int = LEAST_GROUP) -> DataFrame:
     """One row per input row: (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
 
     Null texts count as empty: no words, base_failed. Null languages and sources form groups of their own. kept is false
@@ -130,7 +133,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_m, name = measures(docs, text_col)
     flat = with_m.select(F.col(id_col).alias(id_col), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(name).alias("m"))
     flat = written(flat.select(id_col, "lang", "source", *_flat(F.col("m"))))
-    cuts = thresholds(flat).select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "cut")
+    cuts = thresholds(flat, least_group).select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "cut")
     out = flat.join(cuts, flat["lang"].eqNullSafe(cuts["lang_"]) & flat["source"].eqNullSafe(cuts["source_"]), "left")
     failed = base_failed()
     kept = F.when(failed, F.lit(False)).otherwise(_verdict(_shares(), F.col("cut")))
@@ -140,5 +143,5 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_good(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents that quality_report keeps, columns unchanged. Rows that repeat an id stay only if all of them are kept."""
     report = quality_report(docs, id_col=id_col, **how)
-    drop = written(report.where(~F.col("kept")).select(F.col(id_col).cast("long").alias("id")).distinct())
+    drop = written(report.where(~F.col("kept")).select(F.col(id_col).alias("id")).distinct())
     return without_ids(docs, drop, id_col)

@@ -1,8 +1,8 @@
 """Secret scan over a trigram inverted index.
 
 Each rule's regular expression is parsed once into a Boolean trigram query (what trigrams any match must contain). The
-index is kept per segment, a segment being one Arrow batch of documents: postings lists (trigram -> document ordinals)
-of the trigrams that some query mentions, over the ASCII-lower-cased texts. A query is evaluated by intersecting and
+index is kept per segment, a segment being a bounded slice of a batch of documents: postings lists (trigram -> document
+ordinals) of every trigram of the ASCII-lower-cased texts (``TrigramIndex``). A query is evaluated by intersecting and
 uniting postings, and only its candidates are verified with the regular expression; a rule without mandatory trigrams is
 run over every document. Segments are independent, so nothing is shuffled and a lost executor costs its segments only.
 """
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ALL, NONE = ("all",), ("none",)
 _MOST_STRINGS = 24
 
@@ -150,31 +152,53 @@ def trigram_query(pattern: str) -> tuple:
     return _info(sp.parse(pattern)).closed()
 
 
-def _mentioned(q: tuple) -> set[str]:
-    return {q[1]} if q[0] == "tri" else set().union(*map(_mentioned, q[1:])) if q[0] in ("and", "or") else set()
+_FOLD = np.arange(256, dtype=np.uint32)
+_FOLD[65:91] += 32
 
 
-def _evaluate(q: tuple, postings: dict[str, np.ndarray]) -> np.ndarray:
-    if q[0] == "tri":
-        return postings[q[1]]
-    a, b = _evaluate(q[1], postings), _evaluate(q[2], postings)
-    return np.intersect1d(a, b, assume_unique=True) if q[0] == "and" else np.union1d(a, b)
+class TrigramIndex:
+    """Inverted index of a segment: for every trigram of its texts' bytes (A-Z lower-cased) the ordinals of the texts, ascending."""
+
+    def __init__(self, texts: list[str]) -> None:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        b = _FOLD[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        if len(b) < 3:
+            self.keys, self.docs, self.starts = (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(1, dtype=np.int64),)
+            return
+        tri = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]).astype(np.uint64)
+        doc = np.repeat(np.arange(len(raw), dtype=np.uint64), size)
+        inside = doc[:-2] == doc[2:]  # a trigram does not cross into the next text
+        both = np.unique(tri[inside] << np.uint64(32) | doc[:-2][inside])
+        key = (both >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+        self.keys, self.docs, self.starts = key[first], (both & np.uint64(0xFFFFFFFF)).astype(np.int64), np.r_[first, len(key)]
 
+    def postings(self, trigram: str) -> np.ndarray:
+        a, b, c = trigram.encode()
+        i = int(np.searchsorted(self.keys, a << 16 | b << 8 | c))
+        if i == len(self.keys) or self.keys[i] != a << 16 | b << 8 | c:
+            return np.zeros(0, dtype=np.int64)
+        return self.docs[self.starts[i] : self.starts[i + 1]]
 
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+def _evaluate(q: tuple, index: TrigramIndex) -> np.ndarray:
+    if q[0] == "tri":
+        return index.postings(q[1])
+    a, b = _evaluate(q[1], index), _evaluate(q[2], index)
+    return np.intersect1d(a, b, assume_unique=True) if q[0] == "and" else np.union1d(a, b)
 
 
 def scan(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
     """For each text of a segment, (start, rule number, end) of every span, in order."""
     compiled = [re.compile(r.pattern) for r in rules]
     queries = [trigram_query(r.pattern) for r in rules]
-    lower = [t.lower() if t.isascii() else t.translate(_LOWER) for t in texts]
-    postings = {t: np.array([i for i, x in enumerate(lower) if t in x], dtype=np.int64) for t in sorted(set().union(*map(_mentioned, queries)))}
+    index = TrigramIndex(texts)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for k, (rule, rx, q) in enumerate(zip(rules, compiled, queries, strict=True)):
         if rule.group == 0 and rule.least > 1 and re.fullmatch(r"\[[^\]]+\]\+", rule.pattern):
             rx = re.compile(f"{rule.pattern[:-1]}{{{rule.least},}}")  # of a run of one class the long ones only, the same spans
-        for i in range(len(texts)) if q == ALL else _evaluate(q, postings).tolist():
+        for i in range(len(texts)) if q == ALL else _evaluate(q, index).tolist():
             for m in rx.finditer(texts[i]):
                 if m.end(rule.group) - m.start(rule.group) >= rule.least:
                     found[i].append((m.start(), k, m.end()))
@@ -192,13 +216,13 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: i
     kinds = [r.kind for r in rules]
 
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for part, texts in (x for batch in batches for x in slices(batch)):
+            texts = [t or "" for t in texts]
             found = scan(texts, rules)
             n = [[sum(k == j for _, k, _ in x) for j in range(len(rules))] for x in found]
             spans = [[{"kind": kinds[k], "start": s, "end": e} for s, k, e in x] for x in found]
             sha = [hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in x if k < base).encode()).hexdigest() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), pa.array(sha, pa.string())], names=[id_col, "n", "spans", "base_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), pa.array(sha, pa.string())], names=[id_col, "n", "spans", "base_sha256"])
 
-    src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t"))
-    return src.mapInArrow(run, f"`{id_col}` long, n array<long>, spans array<struct<kind:string,start:long,end:long>>, base_sha256 string")
+    src = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("t"))
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n array<long>, spans array<struct<kind:string,start:long,end:long>>, base_sha256 string")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ESC = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -286,20 +288,24 @@ def _encode(path: str, with_ids: bool):
     def run(batches):
         t = compiled(path)
         gc.disable()  # what is remembered are many small objects without cycles
-        for batch in batches:
-            ids, n, crc, same = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                got = t.encode(text or "")
-                n.append(len(got))
-                crc.append(zlib.crc32(np.array(got, dtype="<u4").tobytes()))
-                same.append(t.decode(got) == (text or "").replace(ESC, " "))
-                ids.append(got if with_ids else None)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
-            names = ["id", "n_pieces", "ids_crc32", "round_trip"]
-            if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            for batch in batches:
+                for part, texts in slices(batch):
+                    ids, n, crc, same = [], [], [], []
+                    for text in texts:
+                        got = t.encode(text or "")
+                        n.append(len(got))
+                        crc.append(zlib.crc32(np.array(got, dtype="<u4").tobytes()))
+                        same.append(t.decode(got) == (text or "").replace(ESC, " "))
+                        ids.append(got if with_ids else None)
+                    cols = [part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+                    names = ["id", "n_pieces", "ids_crc32", "round_trip"]
+                    if with_ids:
+                        cols.append(pa.array(ids, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+        finally:
+            gc.enable()
 
     return run
 
@@ -310,8 +316,8 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = True, id_col:
     model: path of the model file, readable on every executor. round_trip: decoding gives the text back (a text's own
     escape characters come back as spaces). Null texts count as empty: no pieces.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    out = src.mapInArrow(_encode(model, with_ids), "id long, n_pieces long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else ""))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    out = src.mapInArrow(_encode(model, with_ids), f"id {src.schema['id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -323,6 +329,7 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id") ->
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else t.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col("ids").cast("array<int>")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    src = encoded.select(F.col(id_col).alias("id"), F.col("ids").cast("array<int>"))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 

@@ -24,10 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, slices
 
 MAGIC = b"BPL1"
 BLOCK = 65536
+#: Bytes of text of a part file, about.
+PART = 32 << 20
 
 
 def _turn8(x: np.ndarray) -> np.ndarray:
@@ -161,8 +163,8 @@ def _writer(path: str, end_id: int, planes: str):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "chunk", "first_id", "n_ids", "docs", "sizes", "payload"])
 
         gc.disable()  # what is remembered are many small objects without cycles
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        try:
+            for doc, text in (x for batch in batches for part, texts in slices(batch) for x in zip(part.column(0).to_pylist(), texts, strict=True)):
                 got = enc.encode(text or "")
                 held += got
                 held += end
@@ -174,8 +176,10 @@ def _writer(path: str, end_id: int, planes: str):
                         yield emit(ids[k : k + BLOCK], docs, sizes)
                         docs, sizes, k = [], [], k + BLOCK
                     held = bytearray(ids[k:].tobytes())
-        if held or docs:
-            yield emit(np.frombuffer(bytes(held), dtype="<u4"), docs, sizes)
+            if held or docs:
+                yield emit(np.frombuffer(bytes(held), dtype="<u4"), docs, sizes)
+        finally:
+            gc.enable()
 
     return run
 
@@ -183,13 +187,14 @@ def _writer(path: str, end_id: int, planes: str):
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, planes: str = "bit", path: str | None = None, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encode docs (null text: empty; null id: not written) and write their ids in ascending order of id.
 
-    tokenizer: path of a tokenizers file. planes: "bit" or "byte". Rows that repeat an id all stay, in order of text.
+    Ids are integers. parts: ranges of ids, by default one for every PART bytes of text. tokenizer: path of a tokenizers file. planes: "bit" or "byte". Rows that repeat an id all stay, in order of text.
     """
     spark = docs.sparkSession
     path = path or scratch(spark)
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = src.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    if parts is None:
+        parts = max(1, -(-(src.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
+    ranged = src.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
     ranged.mapInArrow(_writer(tokenizer, end_id, planes), CHUNK).write.parquet(path)
     return TokenFiles(path)
 
