@@ -8,7 +8,8 @@ shingles unless a set leaves more than e blocks empty (such sets are also joined
 share a block sketch in a band are candidates, where each may leave out its s most frequent block sketches; whole parity
 sketches of about a bit per shingle, one flipped by each, prune them by the same bound on their Hamming distance; the
 shingle sets decide. Copies (equal sets) are one item each, named by a 64-bit hash of the set, and ``linkage.resolve``
-never emits all pairs of a group. Texts are never shuffled but for those of candidates.
+never emits all pairs of a group. Linked sets share a component, so the links are counted among its sets, by sizes of
+intersections in blocks and without emitting a pair. Texts are never shuffled but for those of candidates.
 """
 
 from __future__ import annotations
@@ -294,19 +295,108 @@ def _linking(num: int, den: int):
     return run
 
 
-def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Sets and shingles of one side of a block in which links are counted.
+COUNTED, SIDE = 1024, 1 << 21
+#: Shingles held by so small a share of a block's pairs are counted pair by pair, the others by matrix products.
+SPARSE = 1 / 512
+
+
+def _ends(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, number of its set) of sets one after another."""
+    return np.frombuffer(b"".join(hashes), dtype=np.uint64), np.repeat(np.arange(len(hashes)), [len(x) // 8 for x in hashes])
+
+
+def intersections(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b (bytes of distinct 64-bit hashes)."""
+    (fa, ra), (fb, rb) = _ends(a), _ends(b)
+    out = np.zeros(len(a) * len(b), dtype=np.int64)
+    both = np.intersect1d(fa, fb)
+    if not len(both):
+        return out.reshape(len(a), len(b))
+    sides = []
+    for f, r in ((fa, ra), (fb, rb)):
+        col = np.minimum(np.searchsorted(both, f), len(both) - 1)
+        hit = both[col] == f
+        col, r = col[hit], r[hit]
+        order = np.argsort(col, kind="stable")
+        count = np.bincount(col, minlength=len(both))
+        sides.append((r[order], np.cumsum(count) - count, count))
+    (ra, sa, ca), (rb, sb, cb) = sides
+    few = ca * cb <= max(1.0, len(out) * SPARSE)
+    rare = np.flatnonzero(few)
+    ends = np.cumsum((ca * cb)[rare])
+    at = 0
+    while at < len(rare):  # a bounded number of pairs at a time
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), side="right")))
+        cols = rare[at:stop]
+        left = _ranges(sa[cols], ca[cols])
+        times = np.repeat(cb[cols], ca[cols])
+        right = _ranges(np.repeat(sb[cols], ca[cols]), times)
+        out += np.bincount(np.repeat(ra[left], times) * len(b) + rb[right], minlength=len(out))
+        at = stop
+    out = out.reshape(len(a), len(b))
+    dense = np.flatnonzero(~few)
+    for k in range(0, len(dense), 4096):
+        cols = dense[k : k + 4096]
+        x, y = np.zeros((len(a), len(cols)), dtype=np.float32), np.zeros((len(b), len(cols)), dtype=np.float32)
+        x[ra[_ranges(sa[cols], ca[cols])], np.repeat(np.arange(len(cols)), ca[cols])] = 1
+        y[rb[_ranges(sb[cols], cb[cols])], np.repeat(np.arange(len(cols)), cb[cols])] = 1
+        out += np.rint(x @ y.T).astype(np.int64)  # whole numbers below 2^24 are exact
+    return out
+
+
+def _counted(num: int, den: int):
+    def run(batches):
+        """Blocks of a component (one a row) -> (id, weight of the sets that it links with in this block)."""
+        for batch in batches:
+            for same, group in zip(batch.column("same").to_pylist(), batch.column("members"), strict=True):
+                m = group.values
+                ids, weight, side = (m.field(c).to_numpy() for c in ("id", "weight", "side"))
+                sets = m.field("s")
+                left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+                x, y = sets.take(pa.array(left)).to_pylist(), sets.take(pa.array(right)).to_pylist()
+                na, nb = (np.array([len(t) // 8 for t in z], dtype=np.int64) for z in (x, y))
+                both = intersections(x, y)
+                ok = den * both >= num * (na[:, None] + nb[None, :] - both)
+                if same:
+                    np.fill_diagonal(ok, False)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ok.astype(np.int64) @ weight[right])], names=["id", "links"])
+                if not same:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[right]), pa.array(ok.astype(np.int64).T @ weight[left])], names=["id", "links"])
+
+    return run
+
+
+def _link_counts(members: DataFrame, shingles: DataFrame, num: int, den: int, tables: list[str]) -> DataFrame:
+    """members (id, component, n, weight), shingles (id, s) -> (id, links): the weight of all other sets that a set links with.
+
+    Every pair of a component is looked at, in blocks that hold a bounded number of sets and shingles of either side."""
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"), F.sum("weight").alias("total"))
+    members = written(members.join(size, "component"), tables)
+    two = members.where("size = 2").select("id", (F.col("total") - F.col("weight")).alias("links"))
+    parts = F.greatest(F.ceil(F.col("size") / COUNTED), F.ceil(F.col("all") / SIDE)).cast("int")
+    more = members.where("size > 2").select("id", "component", "weight", parts.alias("parts")).join(shingles, "id")
+    more = more.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    member = F.struct("id", "weight", "s", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    blocks = more.groupBy("component", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj")).agg(F.collect_list(member).alias("members"))
+    found = blocks.select((F.col("bi") == F.col("bj")).alias("same"), "members").mapInArrow(_counted(num, den), "id long, links long")
+    return written(two.unionByName(found.groupBy("id").agg(F.sum("links").alias("links"))), tables)
+
+
+def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """Link documents whose n-word shingle sets have Jaccard similarity >= num/den.
 
     Returns one row per input row: (id_col, n_shingles, component_id, n_links). component_id is the smallest id reachable
-    by links, itself included. n_links counts the verified links of the document's distinct set (a lower bound on its links;
-    equal sets are linked without being counted). Null or blank texts: n_shingles 0, linked with nothing. Rows that
-    repeat an id are each returned. Rows with a null id are returned with a null component. Ids are of any type with an order.
+    by links, itself included. n_links is the number of other rows that the row links with, those with an equal set
+    included; without count_links the column is not made. Null or blank texts: n_shingles 0, linked with nothing. Rows
+    that repeat an id are each returned and counted. Rows with a null id are returned with a null component and no links.
+    Ids are of any type with an order.
     """
-    spark, bands, tables, into = docs.sparkSession, Bands(num, den), [], []
+    spark, bands, tables, into, read = docs.sparkSession, Bands(num, den), [], [], []
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     meta = written(src.mapInArrow(_sets(n), f"id {kind}, n long, h0 long, h1 long, sketch binary, short binary, often binary"), tables)
-    copies = meta.where("n > 0 and id is not null").groupBy("h0").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
+    copies = meta.where("n > 0 and id is not null").groupBy("h0").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.count(F.lit(1)).alias("times"))
     copies = written(copies, tables)
     sets = copies.select(F.col("h0").alias("id"), "n", "sketch", "short")
     keys = src.where("id is not null").mapInArrow(_keys(n, num, den, frequent_shingles(meta)), "key long, id long, may int")
@@ -321,22 +411,33 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
         maybe, _ = split_by_ids(src, reps, "id")
         # A document whose id is wanted by accident has a set of its own, which no pair asks for.
         found = written(maybe.join(reps.distinct(), "id", "left_semi").mapInArrow(_shingles(n), "id long, s binary").dropDuplicates(["id"]), tables)
+        read.append(found)
         both = pairs.join(found.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(found.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         return both.mapInArrow(_linking(num, den), "a long, b long")
 
     linked = resolve(keys, sets, prune, verify, into, hamming)
-    by_set = copies.select("h0", "rep").join(linked.select(F.col("id").alias("h0"), "component", "n_links"), "h0", "left")
+    by_set = copies.select("h0", "rep", "times").join(linked.select(F.col("id").alias("h0"), "component"), "h0", "left")
     low = by_set.groupBy("component").agg(F.min("rep").alias("low")).where("component is not null")
-    by_set = by_set.join(low, "component", "left").select("h0", F.coalesce("low", "rep").alias("low"), "n_links")
+    by_set = by_set.join(low, "component", "left").select("h0", F.coalesce("low", "rep").alias("low"), "times")
+    cols = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id")]
+    if count_links:
+        members = linked.join(copies.select(F.col("h0").alias("id"), "n", F.col("times").alias("weight")), "id")
+        shingles = read[0]
+        for more in read[1:]:
+            shingles = shingles.unionByName(more)
+        links = _link_counts(members, shingles.dropDuplicates(["id"]), num, den, tables)
+        by_set = by_set.join(links.select(F.col("id").alias("h0"), "links"), "h0", "left")
+        n_links = F.coalesce("links", F.lit(0)) + F.col("times") - 1
+        cols.append(F.when(F.col("id").isNotNull() & F.col("times").isNotNull(), n_links).otherwise(F.lit(0)).alias("n_links"))
     out = meta.select("id", "n", F.when(F.col("n") > 0, F.col("h0")).alias("h0")).join(by_set, "h0", "left")
-    out = written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    out = written(out.select(*cols))
     discard(spark, tables + into)
     return out
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs without near duplicates: of each connected group the document with the smallest id stays, columns unchanged."""
-    found = ngram_join(docs, **how)
+    found = ngram_join(docs, **how, count_links=False)
     id_col = how.get("id_col", "doc_id")
     drop = written(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct())
     return without_ids(docs, drop, id_col)

@@ -96,3 +96,26 @@ def test_bands_meet():
                 if a * den >= b * num:
                     both = {x[0]: x for x in bands.of(a)}.keys() & {x[0] for x in bands.of(b)}
                     assert any(bands.most(a, b) < dict((x[0], x[1] - x[2]) for x in bands.of(a))[k] for k in both)
+
+
+def test_intersections():
+    rnd = random.Random(5)
+    sets = [sorted(rnd.sample(range(60), rnd.choice([0, 1, 5, 40]))) + [2**63 + k] * (k % 2) for k in range(70)]
+    as_bytes = [M.np.array(x, dtype=M.np.uint64).tobytes() for x in sets]
+    for a, b in ((sets, sets), (sets[:9], sets[30:])):
+        x = M.intersections(as_bytes[: len(a)], as_bytes[len(sets) - len(b) :])
+        assert x.tolist() == [[len(set(p) & set(q)) for q in b] for p in a]
+
+
+@pytest.mark.parametrize("counted", [M.COUNTED, 7])
+def test_every_link_is_counted(spark, monkeypatch, counted):
+    """Near copies that all link with each other, a chain and exact copies: n_links is what brute force counts."""
+    monkeypatch.setattr(M, "COUNTED", counted)
+    words = [f"w{i}" for i in range(300)]
+    rows = [" ".join([*words[:200], f"x{k}", *words[200:]]) for k in range(30)]
+    rows += [" ".join(words[k * 3 : k * 3 + 120]) for k in range(40)] + [rows[3]] * 4 + ["a b c d e f"] * 3 + ["g h i j k", "", None]
+    rows = list(enumerate(rows))
+    sets = {i: sets_of(t, 4) for i, t in rows}
+    want = {i: sum(j != i and bool(s) and 100 * len(s & t) >= 85 * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    assert {r.doc_id: r.n_links for r in M.ngram_join(df, 4, 85, 100).collect()} == want
