@@ -199,6 +199,17 @@ def test_continuations(spark):
     assert [(r.article, r.following, r.method) for r in links.collect()] == [(1, 2, "untitled+seam")]
 
 
+def test_chain_of_continuations(spark):
+    """Seven merges, one a round: the plan does not grow with the rounds."""
+    rows = [x for k in range(1, 9) for x in ((k, "Headline", "Potopis" if k == 1 else "", k), (k, "Paragraph", "nadaljuje se", k))]
+    none = spark.createDataFrame([], "doc_id long, pos int, article long, key string")
+    w = spark.createDataFrame([], "doc_id long, key string, weight double")
+    root, links = K.merged_articles(K.article_table(items(spark, rows), none, w))
+    assert {r.article: r.root for r in root.collect()} == {k: 1 for k in range(1, 9)}
+    assert sorted(r.following for r in links.collect()) == list(range(2, 9))
+    assert root._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
 def test_orphan_captions(spark):
     rows = [(1, "Headline", "a", 1), (1, "Paragraph", "b", 1), (1, "Headline", "c", 2), (1, "Caption", "Janez", 2), (1, "Paragraph", "d", 2), (2, "Caption", "e", None)]
     df = items(spark, rows)
