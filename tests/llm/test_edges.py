@@ -122,3 +122,36 @@ def test_stages_on_odd_rows(spark):
             assert len(got) <= rows.count(), name
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == df.columns, name
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("dealt", [linededup.DEALT, 40])
+def test_no_alike_line_is_left_out(spark, monkeypatch, dealt):
+    """Lines with up to a tenth of their letters changed, spread evenly: every pair at the similarity is in one group."""
+    monkeypatch.setattr(linededup, "DEALT", dealt)
+    rnd, rows = random.Random(11), []
+    for words in (2, 3, 4, 6, 8, 12, 15, 20, 30):
+        for _ in range(12):
+            line = " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9))) for _ in range(words))
+            other = list(line)
+            for k in rnd.sample(range(len(line)), len(line) // 10):
+                other[k] = rnd.choice(["", "x", "yz", other[k] + "q"]) if k % 3 else "z"
+            rows += [" ".join(x.split()) for x in (line, "".join(other))]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            most = int(0.1 * max(len(rows[a]), len(rows[b])) + 1e-9)
+            if min(len(rows[a]), len(rows[b])) >= 10 and abs(len(rows[a]) - len(rows[b])) <= most and (a == b - 1 or len(rows[a]) < 40) and _edits(rows[a], rows[b]) <= most:
+                root = [root[a] if r == root[b] else r for r in root]
+    want = {k for k in range(len(rows)) if k != root.index(root[k])}
+    df = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in enumerate(rows)], DOCS)
+    got = {r.doc_id for r in linededup.line_groups(df).collect()}
+    assert (sorted(got - want), sorted(want - got)) == ([], [])
