@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,22 @@ def test_no_alike_line_is_left_out(spark, monkeypatch, dealt):
     df = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in enumerate(rows)], DOCS)
     got = {r.doc_id for r in linededup.line_groups(df).collect()}
     assert (sorted(got - want), sorted(want - got)) == ([], [])
+
+
+def test_lines_without_a_common_run_are_not_compared(monkeypatch):
+    """Lines of the same letters in another order meet nothing; what shares a run within the edits allowed is found."""
+    rnd, pairs, within = random.Random(5), [], linededup._within
+    monkeypatch.setattr(linededup, "_within", lambda x, y, i, j, most: pairs.append(len(i)) or within(x, y, i, j, most))
+    letters = list("abcdefghijklmnopqrstuvwxyz" * 4)
+    texts = []
+    for _ in range(400):
+        rnd.shuffle(letters)
+        texts.append("".join(letters))
+    other = list(texts[7])
+    for k in range(5, 100, 10):  # as many letters as may change, spread evenly
+        other[k] = "Z"
+    texts.append("".join(other))
+    n, zero = len(texts), np.zeros(len(texts), dtype=np.int32)
+    block = {"g": zero, "bi": zero, "bj": zero, "side": zero, "home": zero + 1, "id": np.arange(n), "comp": np.arange(n), "t": texts}
+    assert linededup._alike(0.1)(pa.table(block)).to_pylist() == [{"a": 7, "b": n - 1}]
+    assert max(pairs) < n
