@@ -175,3 +175,12 @@ def test_lines_without_a_common_run_are_not_compared(monkeypatch):
     block = {"g": zero, "bi": zero, "bj": zero, "side": zero, "home": zero + 1, "id": np.arange(n), "comp": np.arange(n), "t": texts}
     assert linededup._alike(0.1)(pa.table(block)).to_pylist() == [{"a": 7, "b": n - 1}]
     assert max(pairs) < n
+
+
+def test_triples_are_counted_once_a_line(monkeypatch):
+    counted, count = [], linededup.triple_counts
+    monkeypatch.setattr(linededup, "triple_counts", lambda texts, classes: counted.extend(texts) or count(texts, classes))
+    texts = [f"one line of many that are alike, number {k}" for k in range(50)]
+    x, y = np.zeros(49, dtype=np.int64), np.arange(1, 50)
+    kept = [p for xs, ys in linededup._finely(texts, x, y, np.full(49, 4)) for p in zip(xs.tolist(), ys.tolist(), strict=True)]
+    assert kept == [(0, k) for k in range(1, 50)] and len(counted) == len(texts)
