@@ -184,3 +184,31 @@ def test_triples_are_counted_once_a_line(monkeypatch):
     x, y = np.zeros(49, dtype=np.int64), np.arange(1, 50)
     kept = [p for xs, ys in linededup._finely(texts, x, y, np.full(49, 4)) for p in zip(xs.tolist(), ys.tolist(), strict=True)]
     assert kept == [(0, k) for k in range(1, 50)] and len(counted) == len(texts)
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000])
+def test_rounds_are_bounded_and_every_two_parts_meet_once(most):
+    """What is sent to blocks at a time does not grow with the number of parts, as all blocks at once would."""
+    met = []
+    for plan in linededup._rounds({3: (7, 10.0), 5: (1, 4.0)}, most):
+        blocks = {}
+        for g, part, block, side in plan:
+            blocks.setdefault((g, block), {})[side] = part
+        assert sum({3: 10, 5: 4}[g] * len(b) for (g, _), b in blocks.items()) <= most or len(blocks) == 1
+        met += [(g, b[0], b.get(1, b[0])) for (g, _), b in blocks.items()]
+    assert sorted(met) == [(3, i, j) for i in range(7) for j in range(i, 7)] + [(5, 0, 0)]
+
+
+def test_texts_within_edits_against_brute_force():
+    rnd, texts = random.Random(2), []
+    for k in range(150):
+        line = [rnd.choice("abcdé" if k % 3 else "ab\U0001f600") for _ in range(rnd.randint(0, 70))]
+        other = list(line)
+        for _ in range(rnd.randint(0, 24)):
+            at = rnd.randint(0, len(other))
+            other[at : at + rnd.randint(0, 1)] = rnd.choice(["", "z", "b"])
+        texts += ["".join(line), "".join(other)]
+    x = np.arange(0, 300, 2)
+    most = np.array([rnd.randint(0, 24) for _ in x])
+    want = [_edits(texts[k], texts[k + 1]) <= m for k, m in zip(x.tolist(), most.tolist(), strict=True)]
+    assert linededup._close(texts, x, x + 1, most).tolist() == want and 20 < sum(want) < 130
