@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices
+from .common import scratch, shuffles_removed, slices
 
 MAGIC = b"BPL1"
 BLOCK = 65536
@@ -195,7 +195,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, planes:
     if parts is None:
         parts = max(1, -(-(src.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
     ranged = src.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    ranged.mapInArrow(_writer(tokenizer, end_id, planes), CHUNK).write.parquet(path)
+    with shuffles_removed(spark):  # the texts dealt out are not kept beside the files made of them
+        ranged.mapInArrow(_writer(tokenizer, end_id, planes), CHUNK).write.parquet(path)
     return TokenFiles(path)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import ann, common, linededup, mixing, ngram_join, quality, secrets_scan
+from quire.llm import ann, common, linededup, mixing, ngram_join, quality, queries, secrets_scan, tokenfile
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -212,3 +212,18 @@ def test_texts_within_edits_against_brute_force():
     most = np.array([rnd.randint(0, 24) for _ in x])
     want = [_edits(texts[k], texts[k + 1]) <= m for k, m in zip(x.tolist(), most.tolist(), strict=True)]
     assert linededup._close(texts, x, x + 1, most).tolist() == want and 20 < sum(want) < 130
+
+
+def test_texts_dealt_out_go_once_the_token_files_are_written(spark, tmp_path):
+    import time
+
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    df, had = spark.createDataFrame([(k, f"text {k}") for k in range(100)], "doc_id long, text string"), shuffled()
+    tokenfile.write_token_files(df, queries.tokenizer_path("word_bpe_49k.json"), path=f"file://{tmp_path}/ids", parts=3)
+    for _ in range(50):
+        if left := shuffled() - had:
+            time.sleep(0.1)
+    assert not left
