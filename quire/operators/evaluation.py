@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -13,24 +15,17 @@ from ..functions import similarity as S
 from ..functions import text as X
 from . import layout as L
 from .groups import per_group
-from .scores import kendall_tau
+from .scores import tau_of
 
 #: Thresholds of average precision, and recalls at which precision is read.
 IOUS = np.linspace(0.5, 0.95, 10)
 RECALLS = np.linspace(0.0, 1.0, 101)
+LEAST = (IOUS - 1e-10).tolist()
 
 
-def _ap(iou: np.ndarray, scores: np.ndarray, threshold: float) -> float:
-    """Average precision of one class on one image. iou: predictions x gold. A prediction, best score first, takes the free
-    gold box that it overlaps most, if by the threshold."""
-    n_gold = iou.shape[1]
-    order = np.argsort(-scores, kind="stable")
-    free, hit = np.ones(n_gold, dtype=bool), np.zeros(len(scores), dtype=bool)
-    for at, p in enumerate(order):
-        best = np.where(free, iou[p], -1.0)
-        j = len(best) - 1 - int(np.argmax(best[::-1]))  # of equal overlaps the last
-        if best[j] >= threshold - 1e-10:
-            free[j], hit[at] = False, True
+@lru_cache(1 << 16)
+def _interpolated(hit: tuple[bool, ...], n_gold: int) -> float:
+    """Average precision of predictions, best score first, of which the marked ones hit one of the gold boxes."""
     tp = np.cumsum(hit)
     recall, precision = tp / n_gold, tp / np.arange(1, len(hit) + 1)
     precision = np.maximum.accumulate(precision[::-1])[::-1]
@@ -38,53 +33,104 @@ def _ap(iou: np.ndarray, scores: np.ndarray, threshold: float) -> float:
     return float(np.where(at < len(precision), np.append(precision, 0.0)[np.minimum(at, len(precision))], 0.0).mean())
 
 
-def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.maximum(high - low, 0), axis=2)
-    size = lambda x: np.prod(x[:, 2:] - x[:, :2], axis=1)
-    union = size(a)[:, None] + size(b)[None, :] - inter
-    return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-
-
-def average_precision(pred: DataFrame, gold: DataFrame, page: str = "page_id", by_class: bool = True) -> DataFrame:
-    """(page, map, map_50, map_75): mean over the classes that the page's gold boxes have (or over all boxes as one class)
-    and over IoU thresholds; one image at a time, so that a page is one small task. A page with an empty side scores 0."""
+def _hits(iou: list[list[float]], n_gold: int, least: float) -> tuple[bool, ...]:
+    """Which predictions, best score first, take a gold box: each the free one that it overlaps most, if by `least`."""
+    free, out = [True] * n_gold, []
+    for row in iou:
+        best, at = -1.0, -1
+        for j, v in enumerate(row):
+            if free[j] and v >= best:  # of equal overlaps the last
+                best, at = v, j
+        hit = at >= 0 and best >= least
+        if hit:
+            free[at] = False
+        out.append(hit)
+    return tuple(out)
+
+
+def _iou(a: list[Sequence[float]], b: list[Sequence[float]]) -> list[list[float]]:
+    size = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    sizes, out = [size(q) for q in b], []
+    for p in a:
+        own, row = size(p), []
+        for q, of in zip(b, sizes, strict=True):
+            w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+            inter = w * h if w > 0 and h > 0 else 0.0
+            union = own + of - inter
+            row.append(inter / union if union > 0 else 0.0)
+        out.append(row)
+    return out
+
+
+def _aps(pred: list[Sequence[float]], scores: list[float], gold: list[Sequence[float]]) -> tuple[float, ...]:
+    """Average precision of one class on one image by each of the thresholds; between two that no overlap parts it is the same."""
+    if not pred:
+        return (0.0,) * len(IOUS)
+    order = sorted(range(len(pred)), key=lambda i: (scores[i] != scores[i], -scores[i] if scores[i] == scores[i] else 0.0))
+    iou = _iou([pred[i] for i in order], gold)
+    values = sorted(v for row in iou for v in row)
+    out, below, ap = [], -1, 0.0
+    for t in LEAST:
+        n = bisect_left(values, t)
+        if n != below:
+            ap, below = _interpolated(_hits(iou, len(gold), t), len(gold)), n
+        out.append(ap)
+    return tuple(out)
+
+
+@lru_cache(1 << 16)
+def _means(per: tuple[tuple[float, ...], ...]) -> tuple[float, float, float]:
+    out = np.mean(per, axis=0)
+    return float(out.mean()), float(out[0]), float(out[5])
+
+
+def _scored(pred: DataFrame, gold: DataFrame, page: str, ways: Sequence[str]) -> DataFrame:
+    """(page, map, map_50, map_75) of each way in one pass over the pages: over all boxes as one class (""), or over the
+    classes of a column, which then ends the names. A page with an empty side scores 0."""
     cols = ["x1", "y1", "x2", "y2"]
+    by = [c for c in ways if c]
     score = lambda k: F.col("score").cast("double") if k else F.lit(0.0)
-    side = lambda df, k: df.select(page, F.lit(k).alias("pred"), "label", *cols, score(k).alias("score"))
+    side = lambda df, k: df.select(page, F.lit(k).alias("pred"), "label", *cols, score(k).alias("score"), *[c for c in by if c != "label"])
+    names = [f"{m}_{c}" if c and c != "label" else m for c in ways for m in ("map", "map_50", "map_75")]
 
     def run(g: dict[str, np.ndarray]) -> dict[str, list]:
-        box, pred = np.stack([g[c] for c in cols], axis=1).astype(np.float64), g["pred"].astype(bool)
-        name = g["label"] if by_class else np.full(len(pred), "all", dtype=object)
-        out = np.zeros(len(IOUS))
-        if pred.any() and not pred.all():
-            per = []
-            for c in sorted(set(name[~pred])):
-                p, q = pred & (name == c), ~pred & (name == c)
-                iou = _iou(box[p], box[q])
-                per.append([_ap(iou, g["score"][p], t) if p.any() else 0.0 for t in IOUS])
-            out = np.mean(per, axis=0)
-        return {"map": [float(out.mean())], "map_50": [float(out[0])], "map_75": [float(out[5])]}
+        box, is_pred, scores = list(zip(*[g[c].astype(np.float64).tolist() for c in cols], strict=True)), g["pred"].tolist(), g["score"].tolist()
+        n_pred, got = sum(is_pred), []
+        for c in ways:
+            per: dict[str, tuple[list, list, list]] = {}
+            of = g[c].tolist() if c else [""] * len(box)
+            rows = range(len(box))
+            for i in sorted(rows, key=lambda i: (box[i], scores[i])) if c and c != "label" else rows:
+                p, s, q = per.setdefault(of[i], ([], [], []))
+                (p if is_pred[i] else q).append(box[i])
+                if is_pred[i]:
+                    s.append(scores[i])
+            known = sorted(k for k, (_, _, q) in per.items() if q)
+            got += _means(tuple(_aps(*per[k]) for k in known)) if 0 < n_pred < len(box) else (0.0, 0.0, 0.0)
+        return {m: [v] for m, v in zip(names, got, strict=True)}
+
+    return per_group(side(pred, True).unionByName(side(gold, False)), page, ["pred", "label", *cols, "score", *[c for c in by if c != "label"]], run, ", ".join(f"{m} double" for m in names))
 
-    return per_group(side(pred, True).unionByName(side(gold, False)), page, ["pred", "label", *cols, "score"], run, "map double, map_50 double, map_75 double")
+
+def average_precision(pred: DataFrame, gold: DataFrame, page: str = "page_id", by_class: bool = True) -> DataFrame:
+    """(page, map, map_50, map_75): mean over the classes that the page's gold boxes have (or over all boxes as one class)
+    and over IoU thresholds; one image at a time, so that a page is one small task. A page with an empty side scores 0."""
+    return _scored(pred, gold, page, ["label" if by_class else ""])
 
 
 def layout_scores(pred: DataFrame, gold: DataFrame, page: str = "page_id", pred_type: Column | None = None, gold_type: Column | None = None) -> DataFrame:
     """average_precision over boxes of one class, and, where a map of labels is given, per shared category type (map_cat...)."""
-    out = average_precision(pred, gold, page, by_class=False)
     if pred_type is None and gold_type is None:
-        return out
-    named = lambda df, c: df if c is None else df.withColumn("label", c)
-    cat = average_precision(named(pred, pred_type), named(gold, gold_type), page)
-    return out.join(cat.select(page, *[F.col(c).alias(f"{c}_cat") for c in ("map", "map_50", "map_75")]), page)
+        return _scored(pred, gold, page, [""])
+    named = lambda df, c: df.withColumn("cat", F.col("label") if c is None else c)
+    return _scored(named(pred, pred_type), named(gold, gold_type), page, ["", "cat"])
 
 
 def _order_metrics(ranks: DataFrame, page: str, few: tuple[float, float, float]) -> DataFrame:
     """(page, n, edit, tau, bleu) of ranks (page, idx, gold, pred); `few` = (edit, tau, bleu) where fewer than two are ranked."""
-    seq = ranks.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("gold", "pred"))).alias("m"), F.array_sort(F.collect_list(F.struct("pred", "gold"))).alias("q"), F.count(F.lit(1)).alias("n"))
+    seq = ranks.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("gold", "pred"))).alias("m"), F.array_sort(F.collect_list(F.struct("pred", "gold"))).alias("q"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("idx", "gold", "pred")).alias("t"))
     g, p = F.transform(F.col("m.gold"), lambda x: x.cast("string")), F.transform(F.col("m.pred"), lambda x: x.cast("string"))
-    out = seq.select(page, "n", (S.sequence_distance(F.col("m.pred"), F.col("m.gold")) / F.col("n")).alias("edit"), S.bleu(g, p).alias("bleu"))
-    out = out.join(kendall_tau(ranks, [page], "idx", "gold", "pred"), page)
+    out = seq.select(page, "n", (S.sequence_distance(F.col("m.pred"), F.col("m.gold")) / F.col("n")).alias("edit"), S.bleu(g, p).alias("bleu"), tau_of(F.col("t"), "idx", "gold", "pred").alias("tau"))
     pick = lambda c, v: F.when(F.col("n") < 2, F.lit(v)).otherwise(F.col(c)).alias(c)
     return out.select(page, "n", pick("edit", few[0]), pick("tau", few[1]), pick("bleu", few[2]))
 

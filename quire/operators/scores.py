@@ -25,15 +25,24 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when(longest > 0, F.levenshtein(a, b) / longest).otherwise(0.0)
 
 
+def tau_of(rows: Column, item: str, a: str, b: str) -> Column:
+    """tau-b of an array of structs with an item and its two ranks: 1 for fewer than two items, 0 where a ranking is constant."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("na"), F.lit(0).cast("long").alias("nb"))
+    one = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+
+    def pair(acc, x, y):
+        sign = F.signum(x[a] - y[a]) * F.signum(x[b] - y[b])
+        met = F.struct((acc["s"] + F.coalesce(sign, F.lit(0.0))).alias("s"), (acc["n"] + one(sign.isNotNull())).alias("n"), (acc["na"] + one(x[a] != y[a])).alias("na"), (acc["nb"] + one(x[b] != y[b])).alias("nb"))
+        return F.when(x[item] < y[item], met).otherwise(acc)
+
+    tau = lambda t: F.when(t["n"] == 0, 1.0).when((t["na"] == 0) | (t["nb"] == 0), 0.0).otherwise(t["s"] / F.sqrt(t["na"].cast("double") * t["nb"]))
+    return F.aggregate(rows, start, lambda acc, x: F.aggregate(rows, acc, lambda t, y: pair(t, x, y)), tau)
+
+
 def kendall_tau(ranks: DataFrame, by: Sequence[str], item: str, a: str, b: str) -> DataFrame:
-    """tau-b of two rankings per group: 1 for fewer than two items, 0 where a ranking is constant."""
-    left = ranks.select(*by, F.col(item).alias("i1"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = ranks.select(*by, F.col(item).alias("i2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    sign = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))
-    t = left.join(right, list(by)).where("i1 < i2").groupBy(*by).agg(F.sum(sign).alias("s"), F.count_if(F.col("a1") != F.col("a2")).alias("na"), F.count_if(F.col("b1") != F.col("b2")).alias("nb"))
-    groups = ranks.select(*by).distinct().join(t, list(by), "left")
-    tau = F.when(F.col("s").isNull(), 1.0).when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(F.col("s") / F.sqrt(F.col("na").cast("double") * F.col("nb")))
-    return groups.select(*by, tau.alias("tau"))
+    """(by, tau): tau_of each group, whose pairs are counted in place; the ranks are read once and not joined with themselves."""
+    g = ranks.groupBy(*by).agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col(a).alias("a"), F.col(b).alias("b"))).alias("rows"))
+    return g.select(*by, tau_of(F.col("rows"), "i", "a", "b").alias("tau"))
 
 
 def idf(keys: DataFrame, articles: DataFrame, scope: str, article: str, key: str) -> DataFrame:
