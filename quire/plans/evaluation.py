@@ -22,9 +22,7 @@ def _ranked(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def met02_edit_ratio(spark, sf):
     """Of each document with the next line of its own text: whole texts, no SQL twin (Ratcliff-Obershelp)."""
-    from pyspark.sql import Window
-
-    p = T.lines(spark, sf).withColumn("gold", F.lead("text").over(Window.partitionBy("doc_id").orderBy("pos"))).where("gold is not null")
+    p = T.next_lines(spark, sf, "gold")
     return p.select("doc_id", "pos", _r(S.edit_ratio(F.col("text"), F.col("gold"))).alias("ratio"))
 
 
