@@ -45,3 +45,17 @@ def test_scores_read_their_ranks_once(spark):
     assert plan.collectLeaves().size() == 1
     b = T.boxes(spark, SF)
     assert E.layout_scores(b, b, "page_id", F.col("label"), F.col("label"))._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+def test_coco_files_stay_small(spark, monkeypatch):
+    """A large set is many files with the categories of the set; joined, they are what one file a set would be."""
+    from quire.plans import documents as D
+    from quire.sources import files
+
+    q = {n: registry.queries()[n] for n in ("src05_coco_scan", "set01_joined_images", "set02_joined_annotations")}
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = {n: rows(f(spark, SF)) for n, f in q.items()}
+    monkeypatch.setattr(D, "SPAN", 40)
+    f = files.coco_files(spark, D._coco_folder(spark, SF) + "/*").select(F.size("images").alias("images"), F.size("categories").alias("categories")).collect()
+    assert len(f) > 30 and max(x.images for x in f) <= 10 and {x.categories for x in f} == {6}
+    assert {n: rows(g(spark, SF)) for n, g in q.items()} == want
