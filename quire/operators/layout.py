@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -275,31 +275,48 @@ def column_gutters_by(words: DataFrame, page: Keys = ("page_id",)) -> DataFrame:
 
 def word_lines(words: DataFrame, tolerance: float = 2.0, page: Keys = ("page_id", "col")) -> DataFrame:
     """words with `line` from 0: a word opens a line if its top exceeds that of the line's first word by more than tolerance."""
-    per = words.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "word"))).alias("m"))
+    rest = [c for c in words.columns if c not in page]
+    first = ["y1", "x1", "word"]
+    per = words.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*first, *[c for c in rest if c not in first]))).alias("m"))
     z = per.withColumn("b", anchored(F.col("m.y1"), tolerance)).select(*page, F.explode(F.arrays_zip("m", "b")).alias("z"))
-    return words.join(z.select(*page, F.col("z.m.word").alias("word"), F.col("z.b").alias("line")), [*page, "word"])
+    return z.select(*page, *[F.col(f"z.m.{c}").alias(c) for c in rest], F.col("z.b").alias("line")).select(*words.columns, "line")
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def _median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    mid = F.floor(n / 2).cast("int")
-    return F.when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        mid = F.floor(n / 2).cast("int")
+        return F.when(n % 2 == 1, F.get(s, mid)).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
+
+    return _bound(F.array_sort(values), middle)
 
 
 def shared_baselines(lined: DataFrame, tolerance: float = 2.0, page: Keys = ("page_id", "col")) -> DataFrame:
     """lined words with `merged`: neighbouring lines whose median lower edges differ by at most tolerance are one; the
-    running line's median is taken anew after each merge."""
-    bottoms = lined.groupBy(*page, "line").agg(F.collect_list("y2").alias("ys"))
-    per = bottoms.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line", "ys"))).alias("m"))
-    start = F.struct(F.array().cast("array<double>").alias("ys"), F.lit(-1).alias("g"), F.array().cast("array<int>").alias("out"))
+    running line's median is taken anew after each merge. A page's words are one row meanwhile, so that nothing is joined."""
+    rest = [c for c in lined.columns if c not in page]
+    per = lined.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line", *[c for c in rest if c != "line"]))).alias("m"))
+    per = per.withColumn("lines", F.array_distinct("m.line"))
+    ys = lambda k: F.transform(F.filter("m", lambda x: x["line"] == k), lambda x: x["y2"])
+    bottoms = F.transform("lines", lambda k: _bound(ys(k), lambda v: F.struct(v.alias("ys"), _median(v).alias("at"))))
+    start = F.struct(F.array().cast("array<double>").alias("ys"), F.lit(None).cast("double").alias("at"), F.lit(-1).alias("g"), F.array().cast("array<int>").alias("out"))
 
     def step(s, x):
-        same = (F.size(s["ys"]) > 0) & (F.abs(_median(s["ys"]) - _median(x["ys"])) <= tolerance)
-        g = F.when(same, s["g"]).otherwise(s["g"] + 1)
-        return F.struct(F.when(same, F.concat(s["ys"], x["ys"])).otherwise(x["ys"]).alias("ys"), g.alias("g"), F.concat(s["out"], F.array(g)).alias("out"))
+        def joined(same):
+            g = F.when(same, s["g"]).otherwise(s["g"] + 1)
+            ys = F.when(same, F.concat(s["ys"], x["ys"])).otherwise(x["ys"])
+            return F.struct(ys.alias("ys"), F.when(same, _median(F.concat(s["ys"], x["ys"]))).otherwise(x["at"]).alias("at"), g.alias("g"), F.concat(s["out"], F.array(g)).alias("out"))
+
+        return _bound(F.coalesce((F.size(s["ys"]) > 0) & (F.abs(s["at"] - x["at"]) <= tolerance), F.lit(False)), joined)
 
-    z = per.withColumn("b", F.aggregate("m", start, step, lambda s: s["out"])).select(*page, F.explode(F.arrays_zip("m", "b")).alias("z"))
-    return lined.join(z.select(*page, F.col("z.m.line").alias("line"), F.col("z.b").alias("merged")), [*page, "line"])
+    z = per.withColumn("b", F.aggregate(bottoms, start, step, lambda s: s["out"])).select(*page, "b", "lines", F.explode("m").alias("z"))
+    merged = F.get("b", (F.array_position("lines", F.col("z.line")) - 1).cast("int"))
+    return z.select(*page, *[F.col(f"z.{c}").alias(c) for c in rest], merged.alias("merged")).select(*lined.columns, "merged")
 
 
 def words_text(words: DataFrame, page: Keys = ("page_id",), tolerance: float = 2.0) -> DataFrame:
